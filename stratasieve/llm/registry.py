@@ -1,7 +1,7 @@
 """Queries of this subpackage and the SQL that gives the same rows."""
 
-from . import decontaminate, language_id, mixing, near_dedup, quality_classifier, quality_rules, suffix_dedup
+from . import decontaminate, language_id, license_scan, mixing, near_dedup, quality_classifier, quality_rules, quote_links, suffix_dedup, url_filter
 
-_MODULES = (language_id, quality_classifier, mixing, decontaminate, suffix_dedup, quality_rules, near_dedup)
+_MODULES = (language_id, quote_links, quality_classifier, mixing, decontaminate, url_filter, license_scan, suffix_dedup, quality_rules, near_dedup)
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in _MODULES for k, s in m.SQL.items()}
