@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytetext as bt
-from .common import BROADCAST_IDS, columns, materialize
+from .common import columns, materialize
 
 PASSAGE = 50
 SEED = 20
@@ -85,9 +85,8 @@ def suffixes(keyed: DataFrame) -> DataFrame:
 def _windows(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
     """The runs of the wanted suffixes (one of each class): g, c, n, bit (the suffix's place in the run), h and the run's place."""
     lists = materialize(wanted.groupBy("doc_id", "key").agg(F.collect_list(F.struct("g", "c", "n", "p", "s0", "s1")).alias("list")), "wanted")
-    small = lists.agg(F.sum(F.size("list"))).first()[0] or 0
     side = lists.selectExpr("doc_id as doc_id_", "key as key_", "list")
-    rows = keyed.join(F.broadcast(side) if small <= BROADCAST_IDS else side, F.expr("key = key_ and doc_id <=> doc_id_")).select("doc_id", "key", "text", "list")
+    rows = keyed.join(side, F.expr("key = key_ and doc_id <=> doc_id_")).select("doc_id", "key", "text", "list")
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -165,9 +164,8 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
     _, found = spans(docs)
     gone = materialize(found.where("size(removed) > 0").selectExpr("doc_id as `cut id`", "key as `cut key`", "removed as `cut spans`"), "cut")
     name = {c.lower(): c for c in docs.columns}
-    few = gone.limit(BROADCAST_IDS // 4 + 1).count() <= BROADCAST_IDS // 4
     text, ident = f"`{name['text']}`", f"`{name['doc_id']}`"
-    d = docs.join(F.broadcast(gone) if few else gone, F.expr(f"xxhash64(cast({ident} as long), cast({text} as string)) = `cut key` and cast({ident} as long) <=> `cut id`"), "left").drop("cut id", "cut key")
+    d = docs.join(gone, F.expr(f"xxhash64(cast({ident} as long), cast({text} as string)) = `cut key` and cast({ident} as long) <=> `cut id`"), "left").drop("cut id", "cut key")
     schema = docs.schema
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
