@@ -4,12 +4,11 @@ A document's set is its distinct SHINGLE-word shingles (fewer words: the whole s
 sets are one class, found by a hash aggregate, and only one representative of each goes on. A class's signature is
 VALUES minima in BANDS bands; two classes at the threshold miss each other in all bands with probability
 (1 - T^ROWS)^BANDS, 4e-7 for the defaults. Candidates of a bucket are first its members with the bucket's
-least member; later, in buckets that still hold several components, what is outside the first one
-is compared with the others in blocks. In both, signatures are compared batch by batch and a pair
+least member; then, where the documents that buckets connect still are several components, what is outside the
+largest is compared with the others in blocks. In both, signatures are compared batch by batch and a pair
 is pruned once the posterior probability of T or more (uniform prior) falls under MISS. Survivors are
 verified on their full sets. A component needs only links that join it, so links inside a component aren't
-sought any more; rounds go on until no bucket holds an untested, unpruned pair of two
-components. No list of pairs, links or components is ever on the driver.
+sought any more; every other candidate pair is tested. No list of pairs, links or components is ever on the driver.
 
 Defined cases: null or empty texts have no shingles, n_shingles 0, and are linked with nothing. Repeated
 rows (same id) are of one class if the text is the same, else each is judged by its own text. A null doc_id is
@@ -167,53 +166,75 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             ok = np.zeros(batch.num_rows, bool)
             for r, (x, y) in enumerate(zip(batch["x"], batch["y"])):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = np.sort(np.concatenate((x, y)), kind="stable")
-                same = int((both[1:] == both[:-1]).sum())
-                ok[r] = 100 * same >= percent * (len(both) - same)
+                same = _same(x, y)
+                ok[r] = 100 * same >= percent * (len(x) + len(y) - same)
             yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], ["a", "b"]).filter(pa.array(ok))
 
     p = pairs.join(sets.selectExpr("rep as b", "hashes as y"), "b").join(sets.selectExpr("rep as a", "hashes as x"), "a")
     return p.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long").distinct()
 
 
-def _rest(members: DataFrame, labels: DataFrame, tested: DataFrame, classes: DataFrame, percent: int) -> DataFrame | None:
-    """Untested pairs of two components in one bucket that aren't ruled out: for each member outside the bucket's first component, the likeliest partner in each other component of its block. None if no bucket is open."""
+def _same(x: np.ndarray, y: np.ndarray) -> int:
+    """Size of the intersection of two sorted sets."""
+    both = np.sort(np.concatenate((x, y)), kind="stable")
+    return int((both[1:] == both[:-1]).sum())
+
+
+def _rest(members: DataFrame, labels: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
+    """Links between different components whose members share a bucket. None if no cluster of buckets holds two components.
+
+    Documents that buckets connect are a cluster. Its members outside its largest component are compared with all its members, both dealt into
+    blocks of BLOCK by a hash, so that a task holds two blocks at most. A pair without a common band is no candidate; of the
+    others, signatures are compared batch by batch, and survivors are verified on their full sets, likeliest first,
+    unless a link found before joins their components already.
+    """
     need = least_matches(percent / 100)
-    m = materialize(members.join(labels.selectExpr("node as rep", "component"), "rep", "left").selectExpr("b", "rep", "coalesce(component, rep) as c"), "labelled")
-    opened = materialize(m.groupBy("b").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("n")).where("c0 < c1"), "open")
+    cluster = materialize(components(members.selectExpr("least as a", "rep as b"), "clusters").withColumnsRenamed({"node": "rep", "component": "cluster"}), "clusters")
+    m = materialize(cluster.join(labels.selectExpr("node as rep", "component"), "rep", "left").selectExpr("cluster", "rep", "coalesce(component, rep) as c"), "labelled")
+    sizes = m.groupBy("cluster", "c").agg(F.count("*").alias("n"))
+    opened = materialize(sizes.groupBy("cluster").agg(F.sum("n").alias("n"), F.count("*").alias("k"), F.max(F.struct("n", "c")).alias("home")).where("k > 1").selectExpr("cluster", "n", "home.c as home"), "open")
     if opened.isEmpty():
         return None
-    m = m.join(opened.select("b", "c0", "n"), "b").withColumn("blocks", F.expr(f"(n + {BLOCK - 1}) div {BLOCK}")).withColumn("k", F.expr("pmod(xxhash64(rep), blocks)"))
-    m = m.join(classes.groupBy("rep").agg(F.first("sig").alias("sig")), "rep")
-    # a block is the members outside the first component whose number is i, against all members whose number is j
-    one = m.where("c <> c0").select("b", "rep", "c", "sig", F.col("k").alias("i"), F.explode(F.expr("sequence(0L, blocks - 1)")).alias("j"), F.lit(True).alias("out"))
-    two = m.select("b", "rep", "c", "sig", F.explode(F.expr("sequence(0L, blocks - 1)")).alias("i"), F.col("k").alias("j"), F.lit(False).alias("out"))
-    known = tested.select("a", "b").union(tested.selectExpr("b as a", "a as b")).groupBy("a").agg(F.collect_set("b").alias("known"))
-
-    def pairs(key, table):  # noqa: ANN001  Spark tells its kind of function by the number of arguments
+    m = materialize(m.join(opened, "cluster").selectExpr("cluster", "rep", "c", "c <> home as out", f"(n + {BLOCK - 1}) div {BLOCK} as blocks", f"pmod(xxhash64(rep), (n + {BLOCK - 1}) div {BLOCK}) as k"), "blocks")
+    sigs = classes.groupBy("rep").agg(F.first("sig").alias("sig"))
+    m = m.join(sigs, "rep").join(sets.groupBy("rep").agg(F.first("hashes").alias("hashes")), "rep")
+    other = F.explode(F.expr("sequence(0L, blocks - 1)"))
+    one = m.where("out").select("cluster", "rep", "c", "sig", "hashes", F.col("k").alias("i"), other.alias("j"), F.lit(True).alias("out"))
+    two = m.select("cluster", "rep", "c", "sig", "hashes", other.alias("i"), F.col("k").alias("j"), F.lit(False).alias("out"))
+
+    def links(key, table):  # noqa: ANN001  Spark tells its kind of function by the number of arguments
         out = np.asarray(table["out"]).astype(bool)
         rep, c = np.asarray(table["rep"]), np.asarray(table["c"])
         sig = _matrix(table["sig"].combine_chunks())
-        p, q = np.flatnonzero(out), np.flatnonzero(~out)
+        hashes = [np.frombuffer(x.as_buffer(), np.uint64) for x in table["hashes"].combine_chunks()]
+        size = np.array([len(x) for x in hashes])
+        q = np.flatnonzero(~out)
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (up := root.get(x, x)) != x:
+                root[x] = x = root.get(up, up)
+            return x
+
         a, b = [], []
-        for x in p:
-            alive, n, seen = q[c[q] != c[x]], None, 0
-            n = np.zeros(len(alive), np.int64)
+        for x in np.flatnonzero(out):
+            alive = q[(c[q] != c[x]) & (100 * np.minimum(size[q], size[x]) >= percent * np.maximum(size[q], size[x]))]
+            n, seen = np.zeros(len(alive), np.int64), 0
             for t, least in need:
                 n = n + (sig[alive, seen:t] == sig[x, seen:t]).sum(1)
                 alive, n, seen = alive[n >= least], n[n >= least], t
-            if len(alive) and table["known"][x].is_valid:
-                fresh = ~np.isin(rep[alive], np.asarray(table["known"][x].values))
-                alive, n = alive[fresh], n[fresh]
-            order = np.lexsort((rep[alive], -n, c[alive]))
-            best = alive[order][np.append(True, c[alive][order][1:] != c[alive][order][:-1])] if len(order) else alive
-            a += [rep[x]] * len(best)
-            b += list(rep[best])
-        a, b = np.array(a, np.int64), np.array(b, np.int64)
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+            if len(alive):
+                banded = (sig[alive] == sig[x]).reshape(len(alive), BANDS, ROWS).all(2).any(1)
+                alive, n = alive[banded], n[banded]
+            for y in alive[np.lexsort((rep[alive], -n))]:
+                u, v = find(int(c[x])), find(int(c[y]))
+                if u != v and (same := _same(hashes[x], hashes[y])) * 100 >= percent * (size[x] + size[y] - same):
+                    root[max(u, v)] = min(u, v)
+                    a.append(rep[x])
+                    b.append(rep[y])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    rows = one.join(known.withColumnRenamed("a", "rep"), "rep", "left").unionByName(two.withColumn("known", F.lit(None).cast("array<long>")))
-    return rows.groupBy("b", "i", "j").applyInArrow(pairs, "a long, b long").distinct()
+    return one.unionByName(two).groupBy("cluster", "i", "j").applyInArrow(links, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
@@ -223,27 +244,19 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     bands = _bands(classes)
     buckets = materialize(bands.groupBy("b").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least < most").select("b", "least"), "buckets")
     members = materialize(bands.join(buckets, "b"), "members")
-    pairs = members.where("rep <> least").selectExpr("least as a", "rep as b").distinct()
     ids = materialize(members.select("rep").distinct(), "ids")
     sets = materialize(_sets(docs, ids), "sets")
-    members = members.drop("least")
-    edges = tested = None
-    while True:
-        likely = materialize(_prune(pairs, classes, percent) if tested is None else pairs, "likely")
-        if likely.isEmpty():
-            break
-        found = materialize(_verify(likely, sets, percent), "links")
-        edges = found if edges is None else edges.unionByName(found)
-        tested = likely if tested is None else tested.unionByName(likely)
-        labels = materialize(components(edges), "labels")
-        pairs = _rest(members, labels, tested, classes, percent)
-        if pairs is None:
-            break
+    # first the members of each bucket with its least member, then what that has not joined
+    pairs = members.where("rep <> least").selectExpr("least as a", "rep as b").distinct()
+    edges = materialize(_verify(materialize(_prune(pairs, classes, percent), "likely"), sets, percent), "links")
+    labels = materialize(components(edges), "labels")
+    rest = _rest(members, labels, classes, sets, percent)
+    if rest is not None:
+        more = materialize(rest, "links")
+        if not more.isEmpty():
+            labels = materialize(components(edges.unionByName(more)), "labels")
     out = all_.select("doc_id", "n", "s1", "s2").join(classes.select("n", "s1", "s2", "rep"), ["n", "s1", "s2"], "left")
-    if edges is not None:
-        out = out.join(labels.selectExpr("node as rep", "component"), "rep", "left")
-    else:
-        out = out.withColumn("component", F.lit(None).cast("long"))
+    out = out.join(labels.selectExpr("node as rep", "component"), "rep", "left")
     c = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), c.alias("component_id"), F.coalesce(c == F.col("doc_id"), F.lit(True)).alias("kept"))
 
