@@ -229,7 +229,7 @@ def by_library(content: bytes, low: bytes, path: str, key: str) -> list[Match]:
             if second is not None:
                 found = [(a, a + b[0]) for a, _ in found for b in second.finditer(content)]
             if part.kind == "URI":
-                found = [(re.sub(rb"(?<=[^:/])/.*", b"", a, flags=re.S), a) for a, _ in found]
+                found = [(re.sub(rb"(?<=[^:/])/.*", b"", a, flags=re.S), a) for a, _ in found if s.basic_auth_url(a)]
         except (re.error, ValueError, RecursionError):
             continue
         for a, b in found:
