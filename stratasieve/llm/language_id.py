@@ -204,7 +204,7 @@ class Model:
         self.p = np.full((len(vocabulary), len(langs)), 1 / len(vocabulary))
         parts = [(Lattice(self.lookup, words[i : i + 20_000]), weight[i : i + 20_000]) for i in range(0, len(words), 20_000)]
         for _ in range(ROUNDS):
-            e = sum(x.expected(self.p, w) for x, w in parts) + 0.01
+            e = sum((x.expected(self.p, w) for x, w in parts), np.zeros_like(self.p)) + 0.01
             self.p = e / e.sum(0)
         n = np.array([docs.get(x, 0) + 1.0 for x in langs])
         self.prior = np.log(n / n.sum())
