@@ -79,17 +79,22 @@ def crc_mod(doc_id: Column, n: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
 
 
+def _stars(e: DataFrame) -> bool:
+    """Whether every node of the edges u > v is either a centre (v) or once a member (u)."""
+    roles = e.selectExpr("u as node", "1 as member", "0 as centre").union(e.selectExpr("v", "0", "1"))
+    return roles.groupBy("node").agg(F.sum("member").alias("member"), F.max("centre").alias("centre")).where("member > 1 or member = 1 and centre = 1").isEmpty()
+
+
 def components(edges: DataFrame, name: str = "cc") -> DataFrame:
     """Connected components by alternating large-star and small-star steps.
 
     edges: a, b long. Returns node, component (the least node reached) for every node of an edge.
     Both sides of each join are written tables, so that a hub's rows can be split; minima are
-    aggregated before they are shuffled. Ends when a whole round changes nothing.
+    aggregated before they are shuffled. Ends when every node is a centre or has one centre.
     """
     e = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     e = materialize(e, name)
-    seen = None
-    while True:
+    while not _stars(e):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), name)
         big = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -97,9 +102,5 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
         low = materialize(big.groupBy("u").agg(F.min("v").alias("m")), name)
         joined = big.join(low, "u")
         e = materialize(joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), name)
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == seen:
-            break
-        seen = now
     out = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return out.union(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

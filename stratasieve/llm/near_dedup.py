@@ -183,18 +183,22 @@ def _same(x: np.ndarray, y: np.ndarray) -> int:
 def _rest(members: DataFrame, labels: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
     """Links between different components whose members share a bucket. None if no cluster of buckets holds two components.
 
-    Documents that buckets connect are a cluster. Its members outside its largest component are compared with all its members, both dealt into
+    Components that buckets connect are a cluster. Its members outside its largest component are compared with all its members, both dealt into
     blocks of BLOCK by a hash, so that a task holds two blocks at most. A pair without a common band is no candidate; of the
     others, signatures are compared batch by batch, and survivors are verified on their full sets, likeliest first,
     unless a link found before joins their components already.
     """
     need = least_matches(percent / 100)
-    cluster = materialize(components(members.selectExpr("least as a", "rep as b"), "clusters").withColumnsRenamed({"node": "rep", "component": "cluster"}), "clusters")
-    m = materialize(cluster.join(labels.selectExpr("node as rep", "component"), "rep", "left").selectExpr("cluster", "rep", "coalesce(component, rep) as c"), "labelled")
-    sizes = m.groupBy("cluster", "c").agg(F.count("*").alias("n"))
-    opened = materialize(sizes.groupBy("cluster").agg(F.sum("n").alias("n"), F.count("*").alias("k"), F.max(F.struct("n", "c")).alias("home")).where("k > 1").selectExpr("cluster", "n", "home.c as home"), "open")
-    if opened.isEmpty():
+    of = lambda x: labels.selectExpr(f"node as {x}", f"component as {x}_c")
+    pairs = members.join(of("rep"), "rep", "left").join(of("least"), "least", "left").selectExpr("coalesce(rep_c, rep) as a", "coalesce(least_c, least) as b").where("a <> b").distinct()
+    pairs = materialize(pairs, "across")
+    if pairs.isEmpty():
         return None
+    cluster = materialize(components(pairs, "clusters").selectExpr("node as c", "component as cluster"), "clusters")
+    m = members.select("rep").distinct().join(of("rep"), "rep", "left").selectExpr("rep", "coalesce(rep_c, rep) as c")
+    m = materialize(m.join(cluster, "c"), "labelled")
+    sizes = m.groupBy("cluster", "c").agg(F.count("*").alias("n"))
+    opened = materialize(sizes.groupBy("cluster").agg(F.sum("n").alias("n"), F.max(F.struct("n", "c")).alias("home")).selectExpr("cluster", "n", "home.c as home"), "open")
     m = materialize(m.join(opened, "cluster").selectExpr("cluster", "rep", "c", "c <> home as out", f"(n + {BLOCK - 1}) div {BLOCK} as blocks", f"pmod(xxhash64(rep), (n + {BLOCK - 1}) div {BLOCK}) as k"), "blocks")
     sigs = classes.groupBy("rep").agg(F.first("sig").alias("sig"))
     m = m.join(sigs, "rep").join(sets.groupBy("rep").agg(F.first("hashes").alias("hashes")), "rep")
