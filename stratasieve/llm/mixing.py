@@ -94,12 +94,16 @@ def cuts(sized: DataFrame, goal: DataFrame) -> DataFrame:
 
 
 def copies(docs: DataFrame, plan: DataFrame) -> DataFrame:
-    """docs with source_size, target and copies. plan has a row per source, and Spark broadcasts it if it is small."""
-    p = plan.withColumnRenamed("source", "source_")
-    d = docs.join(p, F.expr("source <=> source_"), "left").withColumn("_q", rank(F.col("doc_id"), F.col("lam")))
-    at = F.expr(f"cast(least(_q / (1 + _q), 0.9999999999999999d) * {RANGES}D * {RANGES}D as long)")
-    inside = F.when(F.col("lam") > 0, F.when(F.col("at0").isNull(), F.col("left_over") > 0).otherwise((at < F.col("at0")) | ((at == F.col("at0")) & ((F.col("_q") < F.col("last_q")) | ((F.col("_q") == F.col("last_q")) & (F.coalesce("doc_id", F.lit(-(2**63))) <= F.col("last_id")))))))
-    return d.withColumn("copies", F.col("whole") + F.coalesce(inside, F.lit(False)).cast("long")).drop("source_", "_q", "lam", "whole", "left_over", "at0", "last_q", "last_id")
+    """docs with source_size, target and copies (columns of these names are replaced). plan has a row per source, and Spark broadcasts it if it is small."""
+    p = plan.select(*[F.col(c).alias(f"mix {c}") for c in plan.columns])
+    m = lambda c: F.col(f"`mix {c}`")
+    d = docs.drop("source_size", "target", "copies").join(p, F.expr("source <=> `mix source`"), "left").withColumn("mix q", rank(F.col("doc_id"), m("lam")))
+    q = m("q")
+    at = F.expr(f"cast(least(`mix q` / (1 + `mix q`), 0.9999999999999999d) * {RANGES}D * {RANGES}D as long)")
+    up_to_last = (q < m("last_q")) | ((q == m("last_q")) & (F.coalesce("doc_id", F.lit(-(2**63))) <= m("last_id")))
+    inside = F.when(m("at0").isNull(), m("left_over") > 0).otherwise((at < m("at0")) | ((at == m("at0")) & up_to_last))
+    taken = m("whole") + F.coalesce(F.when(m("lam") > 0, inside), F.lit(False)).cast("long")
+    return d.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("source_size", "target", "copies")], m("source_size").alias("source_size"), m("target").alias("target"), taken.alias("copies"))
 
 
 def mix_plan(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:

@@ -83,6 +83,13 @@ def test_mix_on_odd_rows(odd, none):
     assert out.count() == 9 and out.where("copies < 0 or copies > 3").count() == 0 and mixing.pareto_mix(none).count() == 0
 
 
+def test_mix_keeps_other_columns(odd):
+    df = odd.selectExpr("*", "1 as target", "2 as whole", "3 as lam", "4 as q")
+    plan = mixing.mix_plan(mixing.sizes(df))
+    out = mixing.copies(df, plan)
+    assert out.columns == [*[c for c in df.columns if c != "target"], "source_size", "target", "copies"] and out.count() == 9
+
+
 def test_certain_copies_and_empty_sources(docs):
     out = {x["doc_id"]: x for x in mixing.pareto_mix(docs([(1, "a b", "en", "a"), (2, "", "en", "b"), (3, "c " * 100, "en", "c")])).collect()}
     assert out[1]["target"] == 6.0 and out[1]["copies"] == 3 and out[2]["target"] == 0.0
