@@ -121,8 +121,8 @@ def entries(data: bytes, compression: str, limits: Settings = Settings()) -> Ite
 
 
 def decode(layers: DataFrame, limits: Settings = Settings()) -> DataFrame:
-    """layer_digest, media_type and blob (binary) to schema.LAYER_ENTRIES; each digest once."""
-    one = layers.dropDuplicates(["layer_digest"]).select("layer_digest", metadata.compression(metadata.media_type(F.col("media_type"))).alias("c"), "blob")
+    """layer_digest, media_type and blob (binary), a row per distinct layer, to schema.LAYER_ENTRIES. Blobs are not shuffled here."""
+    one = layers.select("layer_digest", metadata.compression(metadata.media_type(F.col("media_type"))).alias("c"), "blob")
     names = [f.name for f in schema.LAYER_ENTRIES]
     kinds = pa.schema([("layer_digest", pa.string()), ("entry_idx", pa.int32()), ("path", pa.string()), ("kind", pa.string()), ("linkname", pa.string()), ("size", pa.int64()), ("content_class", pa.string()), ("scannable", pa.bool_()), ("content", pa.binary())])
 
