@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytetext as bt
-from .common import columns, materialize
+from .common import columns, components, materialize
 
 PASSAGE = 50
 SEED = 20
@@ -107,8 +107,8 @@ def _windows(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.mapInArrow(extend, "g long, c long, n long, bit int, h long, doc_id long, key long, s int")
 
 
-def spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, key, n_words, a row for each row of docs; doc_id, key, repeated and removed: arrays of word spans a, b, one row for each document that has any)."""
+def spans(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc_id, key, n_words, a row for each row of docs; doc_id, key, repeated and removed: arrays of word spans a, b, one row for each document that has any; a, b: ids of documents linked by a passage, each with the one that has it first)."""
     keyed = _keyed(docs)
     kept = materialize(suffixes(keyed), "suffixes")
     counts = kept.where("p < 0").selectExpr("doc_id", "key", "c as n_words")
@@ -126,10 +126,13 @@ def spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     place = F.expr(_PLACE.format("s"))
     again = materialize(runs.groupBy("h").agg(F.sum("n").alias("total"), F.min(place).alias("first")).where("total > 1").selectExpr("h", "first"), "again")
     hit = runs.join(again, "h").withColumn("own", F.expr(_PLACE.format("s") + " = first"))
-    partly = hit.groupBy("g", "c").agg(F.sum(F.expr("shiftleft(1L, bit)")).alias("mask"), F.sum(F.expr("case when own then 0L else shiftleft(1L, bit) end")).alias("first_mask"))
-    whole = classes.join(several, "g", "left_anti").selectExpr("g", "c", "shiftleft(1L, int(first.at - first.s0) + 1) - shiftleft(1L, int(first.at - first.s1)) as mask", "0L as first_mask", "n").where("n > 1").drop("n")
+    partly = hit.groupBy("g", "c").agg(F.sum(F.expr("shiftleft(1L, bit)")).alias("mask"), F.sum(F.expr("case when own then 0L else shiftleft(1L, bit) end")).alias("first_mask"), F.collect_set("first.doc_id").alias("holders"))
+    whole = classes.join(several, "g", "left_anti").selectExpr("g", "c", "shiftleft(1L, int(first.at - first.s0) + 1) - shiftleft(1L, int(first.at - first.s1)) as mask", "0L as first_mask", "filter(array(first.doc_id), x -> x is not null) as holders", "n").where("n > 1").drop("n")
     masks = materialize(whole.unionByName(partly).join(classes.select("g", "c", "first"), ["g", "c"]), "masks")
-    found = own.join(masks, ["g", "c"]).withColumn("gone", F.expr("case when p = first.at and key = first.key and doc_id <=> first.doc_id then first_mask else mask end")).groupBy("doc_id", "key").agg(F.collect_list(F.struct("p", "mask", "gone")).alias("list"))
+    found = own.join(masks, ["g", "c"]).withColumn("gone", F.expr("case when p = first.at and key = first.key and doc_id <=> first.doc_id then first_mask else mask end"))
+    found = materialize(found.selectExpr("doc_id", "key", "p", "mask", "gone", "holders"), "found")
+    links = found.select(F.col("doc_id").alias("a"), F.explode("holders").alias("b")).where("a <> b").distinct()
+    found = found.groupBy("doc_id", "key").agg(F.collect_list(F.struct("p", "mask", "gone")).alias("list"))
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
@@ -146,22 +149,30 @@ def spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
                     got.append([{"a": int(u), "b": int(v)} for u, v in zip(a, e)])
             yield pa.RecordBatch.from_arrays([b["doc_id"], b["key"], pa.array(out["mask"], kind), pa.array(out["gone"], kind)], ["doc_id", "key", "repeated", "removed"])
 
-    return counts, materialize(found.mapInArrow(decode, "doc_id long, key long, repeated array<struct<a:long,b:long>>, removed array<struct<a:long,b:long>>"), "spans")
+    spans_ = materialize(found.mapInArrow(decode, "doc_id long, key long, repeated array<struct<a:long,b:long>>, removed array<struct<a:long,b:long>>"), "spans")
+    return counts, spans_, materialize(links, "links")
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_repeated and n_removed (words), repeated and removed (spans of words) of every row."""
-    counts, found = spans(docs)
+    """doc_id, component_id, n_links, n_words, n_repeated and n_removed (words), repeated and removed (spans of words) of every row.
+
+    A passage links each document that has it with the one that has it first: n_links counts a document's links, component_id is the least
+    doc_id that links reach (its own without links; null for a null id).
+    """
+    counts, found, links = spans(docs)
+    number = links.selectExpr("a as id").union(links.selectExpr("b")).groupBy("id").agg(F.count("*").alias("n_links"))
+    linked = materialize(components(links).join(number.withColumnRenamed("id", "node"), "node"), "linked")
     none = F.expr("cast(array() as array<struct<a:bigint,b:bigint>>)")
     out = counts.join(found.selectExpr("doc_id as doc_id_", "key as key_", "repeated", "removed"), F.expr("key = key_ and doc_id <=> doc_id_"), "left")
-    out = out.select("doc_id", "n_words", F.coalesce("repeated", none).alias("repeated"), F.coalesce("removed", none).alias("removed"))
+    out = out.join(linked, F.expr("doc_id = node"), "left").withColumn("component_id", F.coalesce("component", "doc_id")).withColumn("n_links", F.coalesce("n_links", F.lit(0)))
+    out = out.select("doc_id", "component_id", "n_links", "n_words", F.coalesce("repeated", none).alias("repeated"), F.coalesce("removed", none).alias("removed"))
     words = "aggregate({}, 0L, (n, x) -> n + x.b - x.a)"
-    return out.select("doc_id", "n_words", F.expr(words.format("repeated")).alias("n_repeated"), F.expr(words.format("removed")).alias("n_removed"), "repeated", "removed")
+    return out.select("doc_id", "component_id", "n_links", "n_words", F.expr(words.format("repeated")).alias("n_repeated"), F.expr(words.format("removed")).alias("n_removed"), "repeated", "removed")
 
 
 def cut_repeats(docs: DataFrame) -> DataFrame:
     """docs, all columns, with `removed` passages cut from the texts (n_chars, if there, follows); a document of which no word is left goes."""
-    _, found = spans(docs)
+    _, found, _ = spans(docs)
     gone = materialize(found.where("size(removed) > 0").selectExpr("doc_id as `cut id`", "key as `cut key`", "removed as `cut spans`"), "cut")
     name = {c.lower(): c for c in docs.columns}
     text, ident = f"`{name['text']}`", f"`{name['doc_id']}`"
@@ -199,15 +210,21 @@ QUERIES = {"op8_repeated_passages": op8_repeated_passages}
 #: runs of 50 words by text; first occurrence by document and place
 SQL = {
     "op8_repeated_passages": r"""
-with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+with recursive d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
 r as (select doc_id, i, hash(array_to_string(w[i + 1:i + 50], ' ')) as h from (select doc_id, w, unnest(range(0, len(w) - 49)) as i from d where len(w) >= 50)),
 c as (select *, count(*) over (partition by h) as n, row_number() over (partition by h order by doc_id, i) as k from r),
 m as (select doc_id, i, k > 1 as later from c where n > 1),
+e as (select distinct doc_id as a, b from (select doc_id, first_value(doc_id) over (partition by h order by doc_id, i) as b from c where n > 1) where doc_id <> b),
+z as (select a as u, b as v from e union select b, a from e),
+t(u, v) as (select u, v from z union select t.u, z.v from t join z on z.u = t.v),
+q as (select u, least(u, min(v)) as c from t group by u),
+ln as (select u, count(*) as n from (select a as u from e union all select b from e) group by 1),
 o as (select *, case when i - lag(i) over (partition by doc_id order by i) <= 50 then 0 else 1 end as new from m),
 s as (select doc_id, part, min(i) as a, max(i) + 50 as b from (select *, sum(new) over (partition by doc_id order by i) as part from o) group by 1, 2),
 o2 as (select *, case when i - lag(i) over (partition by doc_id order by i) <= 50 then 0 else 1 end as new2 from m where later),
 s2 as (select doc_id, part, min(i) as a, max(i) + 50 as b from (select *, sum(new2) over (partition by doc_id order by i) as part from o2) group by 1, 2),
 x as (select doc_id, sum(b - a)::bigint as n, list({'a': a::bigint, 'b': b::bigint} order by a) as l from s group by 1),
 y as (select doc_id, sum(b - a)::bigint as n, list({'a': a::bigint, 'b': b::bigint} order by a) as l from s2 group by 1)
-select d.doc_id, len(w)::bigint as n_words, coalesce(x.n, 0)::bigint as n_repeated, coalesce(y.n, 0)::bigint as n_removed from d left join x on x.doc_id = d.doc_id left join y on y.doc_id = d.doc_id"""
+select d.doc_id, coalesce(q.c, d.doc_id) as component_id, coalesce(ln.n, 0)::bigint as n_links, len(w)::bigint as n_words, coalesce(x.n, 0)::bigint as n_repeated, coalesce(y.n, 0)::bigint as n_removed
+from d left join x on x.doc_id = d.doc_id left join y on y.doc_id = d.doc_id left join q on q.u = d.doc_id left join ln on ln.u = d.doc_id"""
 }

@@ -137,6 +137,16 @@ def test_repeated_passages_against_brute_force(docs, rng):
         rep, gone = want.get((i, t), (set(), set()))
         assert (points(got[i]["repeated"]), points(got[i]["removed"])) == (rep, gone), i
         assert (got[i]["n_words"], got[i]["n_repeated"], got[i]["n_removed"]) == (len(space_words(t)), len(rep), len(gone))
+    holders = {}
+    for i, t, *_ in sorted(rows):
+        w = space_words(t)
+        for a in range(len(w) - 49):
+            holders.setdefault(tuple(w[a : a + 50]), []).append(i)
+    links = {(i, h[0]) for h in holders.values() for i in h if i != h[0]}
+    for i, x in got.items():
+        assert x["n_links"] == sum(i in p for p in links)
+        assert (x["component_id"] == i) == (not any(got[j]["component_id"] == x["component_id"] and j < i for j in got))
+    assert all(got[a]["component_id"] == got[b]["component_id"] for a, b in links) and all(got[i]["component_id"] == i for i in got if not any(i in p for p in links))
     cut = {x["doc_id"]: x for x in sd.cut_repeats(docs(rows)).collect()}
     for i, t, *_ in rows:
         left = [w for k, w in enumerate(space_words(t)) if k not in want.get((i, t), (set(), set()))[1]]
