@@ -622,3 +622,59 @@ def get_finding(spark: SparkSession, d: str) -> DataFrame:
 @query("get_finding_occurrences", f"{_WITH} select {', '.join(api.OCCURRENCE)} from occ where finding_id = 5")
 def get_finding_occurrences(spark: SparkSession, d: str) -> DataFrame:
     return api.get_finding(_tables(spark, d), 5)[1]
+
+
+# --- small functions ---------------------------------------------------------------------------------------------------------
+
+
+@query("registry_urls", f"with c as ({_reference_rows(DUCK)}) select id, case id % 8 when 2 then 'https://ghcr.io' when 3 then 'http://localhost:5000' when 7 then 'https://reg.io' when 5 then null when 6 then null else 'https://registry-1.docker.io' end as url from c")
+def registry_urls(spark: SparkSession, d: str) -> DataFrame:
+    return i.rows(spark, d, _reference_rows).select("id", ref.base_url(ref.columns(F.col("raw"))["registry"]).alias("url")).withColumn("url", F.when(F.col("url") != "", F.col("url")))
+
+
+_LAYER_TYPES = {"none": meta.PLAIN_LAYERS, "gzip": meta.GZIP_LAYERS, "zstd": meta.ZSTD_LAYERS, "foreign": meta.FOREIGN_LAYERS}
+_ALL_TYPES = [t for ts in _LAYER_TYPES.values() for t in ts] + ["text/plain"]
+
+
+def _type_rows(d) -> str:
+    arms = " ".join(f"when {n} then '{t}'" for n, t in enumerate(_ALL_TYPES))
+    return f"select p_partkey as id, case cast(p_partkey % {len(_ALL_TYPES)} as int) {arms} end || case when p_partkey % 2 = 0 then '; q=1' else '' end as media_type from part"
+
+
+@query("layer_compression", f"with c as ({_type_rows(DUCK)}), t as (select id, trim(string_split(media_type, ';')[1]) as t from c) select id, case {' '.join(f"when t in ({', '.join(map(_quote, ts))}) then '{k}'" for k, ts in _LAYER_TYPES.items())} else 'unknown' end as compression from t")
+def layer_compression(spark: SparkSession, d: str) -> DataFrame:
+    return i.rows(spark, d, _type_rows).select("id", meta.compression(meta.media_type(F.col("media_type"))).alias("compression"))
+
+
+@query("platform_names", "select p_partkey as id, case when p_partkey % 5 = 0 then '' else 'linux/' || case when p_partkey % 3 = 0 then 'arm64/v8' else 'amd64' end end as platform from part")
+def platform_names(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("p_partkey")
+    known = k % 5 != 0
+    return spark.read.parquet(f"{d}/part.parquet").select(k.alias("id"), scalar.platform_name(F.when(known, " Linux"), F.when(known, F.when(k % 3 == 0, "ARM64").otherwise("amd64")), F.when(known & (k % 3 == 0), "v8")).alias("platform"))
+
+
+@query("file_name_tokens", "select p_partkey as id, regexp_replace(regexp_replace(lower(trim(p_name || '/' || p_brand || ':' || p_partkey)), '[^a-z0-9._-]+', '-', 'g'), '^[-.]+|[-.]+$', '', 'g') as token from part")
+def file_name_tokens(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("id"), scalar.path_token(F.concat("p_name", F.lit("/"), "p_brand", F.lit(":"), "p_partkey")).alias("token"))
+
+
+@query("utc_stamps", f"with r as ({i.run_rows(DUCK)}) select id, strftime(scanned_at, '%Y-%m-%dT%H:%M:%SZ') as stamp from r")
+def utc_stamps(spark: SparkSession, d: str) -> DataFrame:
+    return i.rows(spark, d, i.run_rows).select("id", scalar.rfc3339(F.col("scanned_at")).alias("stamp"))
+
+
+@query("invalid_records", f"with r as (select case when c_custkey % 6 = 0 then ' ' else 'docker.io' end as registry, case when c_custkey % 10 = 1 then null else 'r' || c_custkey end as repository from customer) select * from r where repository is null or trim(registry) = ''")
+def invalid_records(spark: SparkSession, d: str) -> DataFrame:
+    return state.invalid("repositories", i.rows(spark, d, lambda _: "select case when c_custkey % 6 = 0 then ' ' else 'docker.io' end as registry, case when c_custkey % 10 = 1 then null else 'r' || c_custkey end as repository from customer"))
+
+
+@query(
+    "documents_candidate_verdicts",
+    f"""with l as (select doc_id, unnest(string_split(text, chr(10))) as line from documents), c as (select doc_id, line, unnest(regexp_extract_all(line, {_re2(rules.CANDIDATE)})) as v from l where regexp_matches(lower(line), {_re2(s.KEYWORDS.decode())})),
+p as (select doc_id, v, substr(line, 1, instr(line, v) - 1) as pre from c)
+select doc_id, v as value, case when not (regexp_matches(pre, '(=|:|=>)["\\x60]*\\s*$') and regexp_matches(right(lower(pre), 96), {_re2(s.KEYWORDS.decode())})) then 'no_context' when list_entropy(string_split(v, '')) < 3.75 then 'low_entropy' else '' end as verdict from p""",
+)
+def documents_candidate_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    """Candidates in the real texts, whose assignments have a space before the quote."""
+    rows = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.col("text").alias("content"), F.lit("").alias("key"))
+    return det.entropy_candidates(rows).select("doc_id", F.col("value").cast("string").alias("value"), "verdict")
