@@ -32,30 +32,31 @@ def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     if not _scratch:
         atexit.register(_clean)
     _scratch.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
 
 
-def discard(spark: SparkSession, df: DataFrame | None = None) -> None:
-    """Delete one scratch table (or all): only when nothing lazy still reads it."""
-    keep = []
-    names = set(df.inputFiles()) if df is not None else None
-    for s, path in _scratch:
-        tail = path.rsplit("/", 1)[1]
-        if names is not None and not any(tail in n for n in names):
-            keep.append((s, path))
-            continue
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    _scratch[:] = keep
+def release(*tables: DataFrame) -> None:
+    """Delete written tables that nothing lazy reads any more. The others go at the end of the program."""
+    gone = {t._scratch for t in tables}
+    for spark, path in _scratch:
+        if path in gone:
+            _delete(spark, path)
+    _scratch[:] = [x for x in _scratch if x[1] not in gone]
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def _clean() -> None:
-    for spark, _ in list(_scratch)[:1]:
-        try:
-            discard(spark)
-        except Exception:  # noqa: BLE001  the session has ended already
-            pass
+    try:
+        for spark, path in _scratch:
+            _delete(spark, path)
+    except Exception:  # noqa: BLE001  the session has ended already
+        pass
 
 
 def columns(df: DataFrame, **types: str) -> DataFrame:
@@ -99,8 +100,10 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
         low = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), name)
         big = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         big = materialize(big, name)
+        release(e, low)
         low = materialize(big.groupBy("u").agg(F.min("v").alias("m")), name)
         joined = big.join(low, "u")
         e = materialize(joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), name)
+        release(big, low)
     out = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return out.union(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

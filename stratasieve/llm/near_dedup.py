@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytetext as bt
-from .common import columns, components, few, keep_ids, materialize
+from .common import columns, components, keep_ids, materialize, release
 
 SHINGLE = 5
 BANDS, ROWS = 20, 4
@@ -252,13 +252,15 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     sets = materialize(_sets(docs, ids), "sets")
     # first the members of each bucket with its least member, then what that has not joined
     pairs = members.where("rep <> least").selectExpr("least as a", "rep as b").distinct()
-    edges = materialize(_verify(materialize(_prune(pairs, classes, percent), "likely"), sets, percent), "links")
+    likely = materialize(_prune(pairs, classes, percent), "likely")
+    edges = materialize(_verify(likely, sets, percent), "links")
     labels = materialize(components(edges), "labels")
     rest = _rest(members, labels, classes, sets, percent)
     if rest is not None:
         more = materialize(rest, "links")
         if not more.isEmpty():
             labels = materialize(components(edges.unionByName(more)), "labels")
+    release(buckets, members, ids, sets, likely, edges)
     out = all_.select("doc_id", "n", "s1", "s2").join(classes.select("n", "s1", "s2", "rep"), ["n", "s1", "s2"], "left")
     out = out.join(labels.selectExpr("node as rep", "component"), "rep", "left")
     c = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))

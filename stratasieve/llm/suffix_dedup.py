@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytetext as bt
-from .common import columns, components, materialize
+from .common import columns, components, materialize, release
 
 PASSAGE = 50
 SEED = 20
@@ -111,7 +111,7 @@ def spans(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(doc_id, key, n_words, a row for each row of docs; doc_id, key, repeated and removed: arrays of word spans a, b, one row for each document that has any; a, b: ids of documents linked by a passage, each with the one that has it first)."""
     keyed = _keyed(docs)
     kept = materialize(suffixes(keyed), "suffixes")
-    counts = kept.where("p < 0").selectExpr("doc_id", "key", "c as n_words")
+    counts = materialize(kept.where("p < 0").selectExpr("doc_id", "key", "c as n_words"), "counts")
     own = kept.where("p >= 0")
     # rows that repeat id and text are one document
     twice = kept.where("p < 0").groupBy("doc_id", "key").agg(F.count("*").alias("n")).where("n > 1")
@@ -119,6 +119,7 @@ def spans(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         own = own.distinct()
     groups = materialize(own.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g"), "groups")
     own = materialize(own.join(groups, "g"), "repeated")
+    release(kept, groups)
     classes = materialize(own.groupBy("g", "c").agg(F.count("*").alias("n"), F.min(F.expr(_PLACE.format("p").replace("'at', p", "'at', p, 's0', s0, 's1', s1"))).alias("first")), "classes")
     several = materialize(classes.groupBy("g").agg(F.count("*").alias("k")).where("k > 1").select("g"), "several")
     wanted = classes.join(several, "g").selectExpr("g", "c", "n", "first.doc_id", "first.key", "first.at as p", "first.s0", "first.s1")
@@ -132,6 +133,9 @@ def spans(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     found = own.join(masks, ["g", "c"]).withColumn("gone", F.expr("case when p = first.at and key = first.key and doc_id <=> first.doc_id then first_mask else mask end"))
     found = materialize(found.selectExpr("doc_id", "key", "p", "mask", "gone", "holders"), "found")
     links = found.select(F.col("doc_id").alias("a"), F.explode("holders").alias("b")).where("a <> b").distinct()
+    release(own, classes, several, runs, again, masks)
+    links = materialize(links, "links")
+    found_ = found
     found = found.groupBy("doc_id", "key").agg(F.collect_list(F.struct("p", "mask", "gone")).alias("list"))
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,7 +154,8 @@ def spans(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
             yield pa.RecordBatch.from_arrays([b["doc_id"], b["key"], pa.array(out["mask"], kind), pa.array(out["gone"], kind)], ["doc_id", "key", "repeated", "removed"])
 
     spans_ = materialize(found.mapInArrow(decode, "doc_id long, key long, repeated array<struct<a:long,b:long>>, removed array<struct<a:long,b:long>>"), "spans")
-    return counts, spans_, materialize(links, "links")
+    release(found_)
+    return counts, spans_, links
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
