@@ -98,12 +98,13 @@ def fences(st: DataFrame) -> DataFrame:
         return out.groupBy(*keys).agg(*[F.max(F.expr(f"case when stat = '{k}' then struct(size, q1, q3) end")).alias(f"{tag}_{k}") for k in STATS])
 
     groups = st.groupBy("lang", "source").agg(F.count("*").alias("rows")).drop("rows")
-    a, b, c = quartiles(sketch, ["lang", "source"], "a"), quartiles(sketch, ["lang"], "b"), quartiles(sketch, [], "c")
+    a, b, c = quartiles(sketch, ["lang", "source"], "a"), quartiles(sketch, ["lang"], "b"), quartiles(sketch, [], "c").first()  # of all documents: one row
     b, a = b.withColumnRenamed("lang", "lang_"), a.withColumnsRenamed({"lang": "lang_", "source": "source_"})
-    g = groups.join(a, F.expr("lang <=> lang_ and source <=> source_"), "left").drop("lang_", "source_").join(b, F.expr("lang <=> lang_"), "left").drop("lang_").join(c, F.lit(True), "left")
+    g = groups.join(a, F.expr("lang <=> lang_ and source <=> source_"), "left").drop("lang_", "source_").join(b, F.expr("lang <=> lang_"), "left").drop("lang_")
     out = []
     for k, (_, margin) in STATS.items():
-        q = F.expr(f"case when a_{k}.size >= {MIN_GROUP} then a_{k} when b_{k}.size >= {MIN_GROUP} then b_{k} else c_{k} end")
+        every = F.struct(*[F.lit(c[f"c_{k}"][x] if c and c[f"c_{k}"] else None).cast("long").alias(x) for x in ("size", "q1", "q3")])
+        q = F.when(F.expr(f"a_{k}.size >= {MIN_GROUP}"), F.col(f"a_{k}")).when(F.expr(f"b_{k}.size >= {MIN_GROUP}"), F.col(f"b_{k}")).otherwise(every)
         out += [(q["q3"] + 3 * (q["q3"] - q["q1"]) + margin).alias(f"hi_{k}"), (q["q1"] - 3 * (q["q3"] - q["q1"]) - margin).alias(f"lo_{k}")]
     return g.select("lang", "source", *out)
 
