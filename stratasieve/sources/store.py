@@ -67,20 +67,21 @@ class Store:
         """
         t = self.tables()
         repo = self.spark.range(1).select(F.lit(registry).alias("registry"), F.lit(repository).alias("repository"))
-        rid = repo.select(state.key_id("registry", "repository").alias("repository_id"))
+        own = {"registry": F.lit(registry), "repository": F.lit(repository)}
+        in_repo = lambda df: df.withColumns(own).withColumn("repository_id", state.key_id("registry", "repository")).drop(*own)
         scans = manifests.withColumnsRenamed({"status": "last_scan_status", "error": "last_scan_error"})
         t["repositories"] = state.upsert_repositories(t["repositories"], repo, at)
         t["manifests"] = state.upsert_manifests(t["manifests"], scans.drop("root_digest"), at)
-        links = scans.select(F.col("digest").alias("manifest_digest"), "root_digest", "last_scan_status", "last_scan_error").crossJoin(F.broadcast(rid))  # one repository
-        t["repository_manifests"] = state.upsert_repository_manifests(t["repository_manifests"], links, at)
-        t["tags"] = state.replace_tags(t["tags"], tags.crossJoin(F.broadcast(rid)), at)
+        links = scans.select(F.col("digest").alias("manifest_digest"), "root_digest", "last_scan_status", "last_scan_error")
+        t["repository_manifests"] = state.upsert_repository_manifests(t["repository_manifests"], in_repo(links), at)
+        t["tags"] = state.replace_tags(t["tags"], in_repo(tags), at)
         f = fnd.persisted(fnd.dedup_detailed(findings), raw)
         t["findings"] = state.upsert_findings(t["findings"], f, at)
         parts = F.split("platform", "/")
         part = lambda i: F.coalesce(F.get(parts, F.lit(i)), F.lit(""))
         occ = f.withColumns({"finding_id": state.key_id("manifest_digest", "fingerprint"), "source_key": F.col("key"), "platform_os": part(0), "platform_architecture": part(1), "platform_variant": part(2), "match_start": F.col("match_start").cast("int"), "match_end": F.col("match_end").cast("int"), "line_number": F.col("line_number").cast("int")})
         t["finding_occurrences"] = state.upsert_occurrences(t["finding_occurrences"], occ, at)
-        runs = run.crossJoin(F.broadcast(rid)).withColumn("id", F.expr("xxhash64(repository_id, requested_reference, scanned_at, result_json) & 9223372036854775807L"))
+        runs = in_repo(run).withColumn("id", F.expr("xxhash64(repository_id, requested_reference, scanned_at, result_json) & 9223372036854775807L"))
         t["scan_runs"] = state.append_runs(t["scan_runs"], runs)
         return self.commit(t)
 
