@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytetext as bt
-from .common import columns, components, materialize, release
+from .common import columns, components, few, materialize, release
 
 PASSAGE = 50
 SEED = 20
@@ -86,7 +86,10 @@ def _windows(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
     """The runs of the wanted suffixes (one of each class): g, c, n, bit (the suffix's place in the run), h and the run's place."""
     lists = materialize(wanted.groupBy("doc_id", "key").agg(F.collect_list(F.struct("g", "c", "n", "p", "s0", "s1")).alias("list")), "wanted")
     side = lists.selectExpr("doc_id as doc_id_", "key as key_", "list")
-    rows = keyed.join(side, F.expr("key = key_ and doc_id <=> doc_id_")).select("doc_id", "key", "text", "list")
+    ids = lists.selectExpr("doc_id as doc_id_", "key as key_")
+    same = F.expr("key = key_ and doc_id <=> doc_id_")
+    rows = keyed.join(F.broadcast(ids), same, "left_semi") if few(ids) else keyed  # other texts need not be shuffled
+    rows = rows.join(side.hint("merge"), same).select("doc_id", "key", "text", "list")
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -181,7 +184,12 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
     gone = materialize(found.where("size(removed) > 0").selectExpr("doc_id as `cut id`", "key as `cut key`", "removed as `cut spans`"), "cut")
     name = {c.lower(): c for c in docs.columns}
     text, ident = f"`{name['text']}`", f"`{name['doc_id']}`"
-    d = docs.join(gone, F.expr(f"xxhash64(cast({ident} as long), cast({text} as string)) = `cut key` and cast({ident} as long) <=> `cut id`"), "left").drop("cut id", "cut key")
+    same = F.expr(f"xxhash64(cast({ident} as long), cast({text} as string)) = `cut key` and cast({ident} as long) <=> `cut id`")
+    ids = F.broadcast(gone.drop("cut spans")) if few(gone) else None
+    if ids is not None:  # only texts that are cut are shuffled
+        d, rest = docs.join(ids, same, "left_semi").join(gone.hint("merge"), same).drop("cut id", "cut key"), docs.join(ids, same, "left_anti")
+    else:
+        d, rest = docs.join(gone.hint("merge"), same, "left").drop("cut id", "cut key"), None
     schema = docs.schema
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,7 +212,8 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
             got = [pa.array(texts, b[c].type) if c == name["text"] else pa.array(sizes, b[c].type) if sizes and c == name["n_chars"] else b[c] for c in schema.names]
             yield pa.RecordBatch.from_arrays(got, names=schema.names).filter(pa.array(keep))
 
-    return d.mapInArrow(cut, schema)
+    out = d.mapInArrow(cut, schema)
+    return out if rest is None else out.unionByName(rest)
 
 
 def op8_repeated_passages(spark, sf_dir: str) -> DataFrame:
