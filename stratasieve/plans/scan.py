@@ -26,6 +26,15 @@ class Scan:
     manifests: DataFrame
     tags: DataFrame
 
+    def saved(self, folder: str) -> "Scan":
+        """The same, written once and read from there: what asks for it several times does not scan again."""
+        read = {}
+        for name in ("findings", "manifests", "tags"):
+            df = getattr(self, name)
+            df.write.mode("overwrite").parquet(f"{folder}/{name}")
+            read[name] = df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
+        return Scan(**read)
+
     def counts(self) -> dict[str, int]:
         """Counters of the run: one aggregate over findings, one over manifests."""
         act, sup = F.col("disposition") == "actionable", F.col("disposition") == "example"

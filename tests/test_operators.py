@@ -199,7 +199,7 @@ def _layout(tmp_path):
 
 def test_scan_a_layout(spark, tmp_path):
     root = _layout(tmp_path / "img")
-    s = scan.scan_layout(spark, root)
+    s = scan.scan_layout(spark, root).saved(str(tmp_path / "all"))
     got = {(x["source_type"], x["platform"], x["disposition"], x["file_path"]) for x in s.findings.where("detector_name = 'github_token'").collect()}
     assert got == {("env", "linux/amd64", "actionable", ""), ("env", "linux/arm64", "actionable", ""), ("file_deleted_layer", "linux/amd64", "actionable", "app/.env"), ("file_final", "linux/arm64", "actionable", "app/.env"), ("file_final", "linux/amd64", "example", "app/tests/x"), ("file_final", "linux/arm64", "example", "app/tests/x")}
     c = s.counts()
@@ -207,7 +207,7 @@ def test_scan_a_layout(spark, tmp_path):
     assert c["manifest_count"] == 2 and c["failed_manifest_count"] == 1 and s.status(c) == "partial" and s.exit_code() == 2
     assert s.findings.where("detector_name = 'github_token'").select("fingerprint").distinct().count() == 1
     assert {x["tag"] for x in s.tags.collect()} == {"latest"} and s.tags.count() == 2
-    only = scan.scan_layout(spark, root, "linux/amd64")
+    only = scan.scan_layout(spark, root, "linux/amd64").saved(str(tmp_path / "one"))
     assert only.manifests.count() == 1 and only.status() == "completed" and only.summary().first()["status"] == "scanned"
 
     st = store.Store(spark, str(tmp_path / "state"))
