@@ -131,7 +131,7 @@ def config_rows(d: Spark | Duck) -> str:
 def replay_rows(d: Spark | Duck) -> str:
     """Layer events: image by order, layer by line, two entries a layer."""
     return """select 'm' || (l_orderkey % 200) as manifest_digest, cast(l_orderkey % 200 as int) as img, cast(floor(l_orderkey / 200.0) % 6 as int) as layer_idx, cast(row_number() over (partition by l_orderkey % 200, cast(floor(l_orderkey / 200.0) % 6 as int) order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) - 1 as int) as entry_idx,
-  case when l_partkey % 13 = 0 then 'opaque' when l_partkey % 7 = 0 then 'whiteout' else 'put' end as op, case when l_partkey % 3 = 0 then 'etc/d' || (l_suppkey % 3) else 'app/d' || (l_suppkey % 3) end as dir, 'f' || (l_partkey % 5) as name, case when l_partkey % 17 = 0 then 'symlink' else 'regular' end as kind from lineitem where l_orderkey % 3 = 0"""
+  case when l_partkey % 13 = 0 then 'opaque' when l_partkey % 7 = 0 then 'whiteout' else 'put' end as op, case when l_partkey % 3 = 0 then 'etc/d' || (l_suppkey % 3) else 'app/d' || (l_suppkey % 3) end as dir, 'f' || (l_partkey % 5) as name, case when l_partkey % 17 = 0 then 'symlink' else 'regular' end as kind from lineitem"""
 
 
 def state_rows(table: str, part: str) -> Template:
