@@ -152,7 +152,7 @@ def state_rows(table: str, part: str) -> Template:
             "findings": f"select {'c_custkey as id, ' if part == 'old' else ''}'sha256:' || (c_custkey % 100) as manifest_digest, {d.h(K + " || ''")} as fingerprint, '{part}***' as redacted_value, {'c_name' if part == 'old' else "case when c_custkey % 2 = 0 then '' else c_name end"} as value{seen}",
             "finding_occurrences": f"select {'c_custkey as id, ' if part == 'old' else ''}c_custkey as finding_id, 'github_token' as detector_name, 'high' as confidence, 'env' as source_type, 'linux' as platform_os, 'amd64' as platform_architecture, '' as platform_variant, '' as file_path, '' as layer_digest, 'K' || c_custkey as source_key, 'ctx' as context_snippet, '' as raw_snippet, 'env:K' || c_custkey as source_location, cast(c_custkey % 7 as int) as match_start, cast(c_custkey % 7 + 40 as int) as match_end, c_custkey % 2 = 0 as present_in_final_image{seen}, '{'actionable' if part == 'old' else 'example'}' as disposition, '{'' if part == 'old' else 'test_path'}' as disposition_reason, cast({1 if part == 'old' else 2} as int) as line_number",
         }[table]
-        return f"{body} from customer where {keep} and c_custkey <= 100000"
+        return f"{body} from customer where {keep}"
 
     return sql
 

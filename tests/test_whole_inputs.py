@@ -33,3 +33,21 @@ def test_replay_takes_all_orders(spark, lineitem):
     assert {tuple(r)[1:] for r in catalogue.QUERIES["replay_final"](spark, folder).collect()} == final
     assert {tuple(r)[1:] for r in catalogue.QUERIES["replay_deleted"](spark, folder).collect()} == deleted
     assert catalogue.QUERIES["replay_hardlinks"](spark, folder).count() > 0
+
+
+@pytest.fixture
+def customer(spark, tmp_path):
+    """Customers on both sides of 100,000."""
+    spark.range(99_990, 100_020).selectExpr("id as c_custkey", "concat('c', id) as c_name").write.parquet(str(tmp_path / "customer.parquet"))
+    return str(tmp_path)
+
+
+@pytest.mark.parametrize("table", ["repositories", "manifests", "repository_manifests", "tags", "findings", "finding_occurrences"])
+def test_state_takes_all_customers(spark, customer, table):
+    for part, not_in in (("old", 0), ("new", 1)):
+        assert inputs.rows(spark, customer, inputs.state_rows(table, part)).count() == sum(k % 3 != not_in for k in range(99_990, 100_020))
+
+
+def test_upsert_reaches_the_last_customer(spark, customer):
+    got = {x["digest"] for x in catalogue.QUERIES["upsert_manifests"](spark, customer).collect()}
+    assert got == {f"sha256:{k}" for k in range(99_990, 100_020)}
