@@ -1,7 +1,7 @@
 """Language ID by segmentation-marginalised unigrams.
 
-The vocabulary is a public tokenizer's (its path is a parameter): the lower-cased pieces of letters, with the
-word-begin mark. For each language the pieces' probabilities are fitted by expectation maximisation over all
+The vocabulary is a public tokenizer's (its path is a parameter): all its lower-cased pieces of letters, of any
+length, with the word-begin mark. For each language the pieces' probabilities are fitted by expectation maximisation over all
 segmentations of the training words; a word's likelihood is the sum over all its segmentations
 (forward algorithm), a text's the product over its words, a word being a maximal run of letters.
 The score is the posterior probability of the language given.
@@ -31,7 +31,8 @@ from . import bytetext as bt
 from .common import columns, crc_mod
 
 MAX_DOCS = 400
-MAX_PIECE = 7
+#: letters of the default vocabulary's longest piece, mark included; no limit: Lookup takes the length from its own pieces
+MAX_PIECE = 16
 ROUNDS = 3
 #: words longer than this are scored one by one, in scaled steps
 LONG = 48
@@ -55,7 +56,7 @@ def pieces(path: str) -> list[str]:
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     out = {sp.id_to_piece(i).lower() for i in range(sp.get_piece_size())}
-    return sorted(p for p in out if len(p) <= MAX_PIECE and (p == MARK or _WORD.fullmatch(p.removeprefix(MARK))))
+    return sorted(p for p in out if p == MARK or _WORD.fullmatch(p.removeprefix(MARK)))
 
 
 class Chars:
@@ -79,6 +80,7 @@ class Lookup:
 
     def __init__(self, vocabulary: list[str]) -> None:
         h = np.array([Chars([p[1:]]).substrings(np.zeros(1, np.int64), len(p))[0] if p[0] == MARK else self._plain(p) for p in vocabulary], np.uint64)
+        self.longest = max(map(len, vocabulary), default=1)
         self.id = np.argsort(h)
         self.hash = h[self.id]
 
@@ -88,9 +90,9 @@ class Lookup:
 
     def ids(self, c: Chars) -> np.ndarray:
         """[position, length - 1] -> id of the piece there, -1 for none or beyond the word's end."""
-        out = np.full((c.n, MAX_PIECE), -1, np.int32)
+        out = np.full((c.n, self.longest), -1, np.int32)
         end = np.repeat(c.start[1:], c.size)
-        for k in range(1, MAX_PIECE + 1):
+        for k in range(1, self.longest + 1):
             at = np.flatnonzero(np.arange(c.n) + k <= end)
             h = c.substrings(at, k)
             i = np.searchsorted(self.hash, h)
@@ -127,7 +129,7 @@ class Lattice:
         a[base] = 1
         for j in range(1, int(c.size.max(initial=0)) + 1):
             w = self._active(j)
-            for k in range(1, min(MAX_PIECE, j) + 1):
+            for k in range(1, min(self.ids.shape[1], j) + 1):
                 at = c.start[w] + j - k
                 some = self.ids[at, k - 1] >= 0 if k > 1 else slice(None)
                 v, at = w[some], at[some]
@@ -155,7 +157,7 @@ class Lattice:
         share = weight / np.maximum(z, 1e-300)
         for left in range(1, int(c.size.max(initial=0)) + 1):  # characters from here to the word's end
             w = self._active(left)
-            for k in range(1, min(MAX_PIECE, left) + 1):
+            for k in range(1, min(self.ids.shape[1], left) + 1):
                 at = c.start[w] + c.size[w] - left
                 some = self.ids[at, k - 1] >= 0 if k > 1 else slice(None)
                 v, at = w[some], at[some]
@@ -179,13 +181,13 @@ def long_word(lookup: Lookup, word: str, p: np.ndarray) -> np.ndarray:
     total = np.zeros(p.shape[1])
     for j in range(1, c.n + 1):
         x = np.zeros(p.shape[1])
-        for k in range(1, min(MAX_PIECE, j) + 1):
+        for k in range(1, min(lookup.longest, j) + 1):
             i = ids[j - k, k - 1]
             if i >= 0:
                 x += ring[-k] * p[i]
             elif k == 1:
                 x += ring[-1] * UNKNOWN
-        ring = [r / x for r in ring[-MAX_PIECE + 1 :]] + [np.ones_like(x)]
+        ring = [r / x for r in ring[-lookup.longest :]] + [np.ones_like(x)]
         total += np.log(x)
     return total
 
