@@ -266,7 +266,9 @@ def confidence_adjust(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _doc_values(d) -> str:
-    return "select doc_id, text, case when doc_id % 4 = 0 then substr(text, 1, cast(doc_id % 9 as int)) else substr(text, 3, cast(doc_id % 40 + 1 as int)) end as value from documents"
+    """Each whole text, and each of its lines."""
+    lines = "unnest(string_split(text, chr(10)))" if d is DUCK else "explode(split(text, '\\n'))"
+    return f"select doc_id, text as value from documents union all select doc_id, {lines} as value from documents"
 
 
 @query("redact_values", f"with c as ({_doc_values(DUCK)}) select doc_id, case when value = '' then '' when contains(value, chr(10)) then string_split(value, chr(10))[1] || '...redacted...' when length(value) <= 6 then repeat('*', length(value)) else left(value, 3) || repeat('*', length(value) - 5) || right(value, 2) end as redacted from c")
@@ -279,9 +281,11 @@ def fingerprints(spark: SparkSession, d: str) -> DataFrame:
     return i.rows(spark, d, _doc_values).select("doc_id", scalar.fingerprint(F.col("value")).alias("fingerprint"))
 
 
-#: spans over the ASCII part of documents: bytes are characters there
+#: spans at the start, at each eighth and at the end of the ASCII part of documents: bytes are characters there
 def _spans(d) -> str:
-    return "select doc_id, regexp_replace(text, '[^ -~\\n]', '?', 'g') as text, cast(doc_id % 60 as bigint) as a, cast(doc_id % 60 + 3 + doc_id % 7 as bigint) as b from documents" if d is DUCK else "select doc_id, regexp_replace(text, '[^ -~\\\\n]', '?') as text, cast(doc_id % 60 as bigint) as a, cast(doc_id % 60 + 3 + doc_id % 7 as bigint) as b from documents"
+    ascii_part = "regexp_replace(text, '[^ -~\\n]', '?', 'g')" if d is DUCK else "regexp_replace(text, '[^ -~\\\\n]', '?')"
+    k, div = ("unnest(range(9))", "//") if d is DUCK else ("explode(sequence(0, 8))", "div")
+    return f"select doc_id, text, a, a + w as b from (select doc_id, text, w, cast(greatest(length(text) - w, 0) * k {div} 8 as bigint) as a from (select doc_id, text, w, {k} as k from (select doc_id, {ascii_part} as text, cast(3 + doc_id % 7 as bigint) as w from documents)))"
 
 
 _TRIM = lambda x: f"regexp_replace(regexp_replace({x}, '^\\s+', ''), '\\s+$', '')"
@@ -295,10 +299,10 @@ def snippets(spark: SparkSession, d: str) -> DataFrame:
     return c.select("doc_id", scalar.snippet(F.col("content"), F.expr("substring(text, int(a) + 1, int(b - a))"), F.col("a"), F.col("b")).alias("snippet"))
 
 
-@query("line_numbers", f"with c as ({_spans(DUCK)}) select doc_id, (1 + length(substr(text, 1, a * 10)) - length(replace(substr(text, 1, a * 10), chr(10), '')))::bigint as line_number from c")
+@query("line_numbers", f"with c as ({_spans(DUCK)}) select doc_id, (1 + length(substr(text, 1, a)) - length(replace(substr(text, 1, a), chr(10), '')))::bigint as line_number from c")
 def line_numbers(spark: SparkSession, d: str) -> DataFrame:
     c = i.rows(spark, d, _spans).withColumn("content", F.col("text").cast("binary"))
-    return c.select("doc_id", scalar.line_number(F.col("content"), F.col("a") * 10).cast("long").alias("line_number"))
+    return c.select("doc_id", scalar.line_number(F.col("content"), F.col("a")).cast("long").alias("line_number"))
 
 
 @query("match_lines", f"with c as ({_spans(DUCK)}) select doc_id, regexp_extract(substr(text, 1, a), '([^\\n]*)$', 1) || substr(text, a + 1, b - a) || string_split(substr(text, b + 1), chr(10))[1] as line from c where b <= strlen(text)")
