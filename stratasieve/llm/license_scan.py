@@ -5,8 +5,8 @@ the whole text; every unit of every whole text is compared with every template b
 vectors. A word of the templates weighs ln((1 + N) / (1 + documents that hold it)), counted over all documents; a word outside
 them weighs as one of a single document. A template's words are ordered by weight, and a unit without any of those that a cosine of THRESHOLD
 cannot do without is skipped exactly (the other words' share of the template's norm is below it).
-A line or paragraph that reaches THRESHOLD is a header. A whole text that reaches FILE_THRESHOLD, or THRESHOLD under a name such as
-LICENSE or COPYING, makes its file a licence file of its directory.
+A line or paragraph that reaches THRESHOLD is a header. A whole text that reaches FILE_THRESHOLD makes its file a licence file of its
+directory; under a name such as LICENSE or COPYING any unit that reaches THRESHOLD does, the whole text before its parts.
 
 A file without a licence of its own takes that of the licence file in the nearest directory
 above it: each path's ancestors are joined with one row per directory (the least path there), and the deepest is kept.
@@ -19,6 +19,7 @@ row each. An empty table gives no rows. Extra columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from importlib import resources
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ THRESHOLD = 0.6
 FILE_THRESHOLD = 0.9
 _NAMED = r"(?i)(^|/)(licen[sc]e|copying|unlicense)([.-][^/]*)?$"
 # Notices that the licences' own publishers ask for, and opening paragraphs of their texts.
-TEMPLATES = (
+_NOTICES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0'),
     ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
@@ -56,6 +57,8 @@ TEMPLATES = (
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
+#: the notices, and the full texts in the folder `licenses`, each named after its licence
+TEMPLATES = _NOTICES + tuple((x.name.removesuffix(".txt"), x.read_text("utf-8")) for x in sorted(resources.files(__package__).joinpath("licenses").iterdir(), key=lambda x: x.name) if x.name.endswith(".txt"))
 KINDS = ("line", "paragraph", "whole")
 
 
@@ -181,10 +184,10 @@ def scan(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, path, n_words, license, score, basis (header, file, inherited or none) and inherited_from of every file of doc_id, path, text."""
     own = materialize(own_licenses(files, threshold), "licenses")
     header = F.when(F.col("line").isNotNull() & (F.col("paragraph").isNull() | (F.col("line_score") >= F.col("paragraph_score"))), F.struct(F.col("line").alias("license"), F.col("line_score").alias("score"))).otherwise(F.struct(F.col("paragraph").alias("license"), F.col("paragraph_score").alias("score")))
-    is_file = (F.col("whole_score") >= FILE_THRESHOLD) | F.coalesce(F.col("path").rlike(_NAMED), F.lit(False))
-    own = own.withColumn("whole", F.when(is_file, F.col("whole")))
+    named = F.coalesce(F.col("path").rlike(_NAMED), F.lit(False))
+    own = own.withColumn("whole", F.when((F.col("whole_score") >= FILE_THRESHOLD) | named, F.col("whole")))
     own = own.withColumn("h", header).withColumn("license", F.coalesce("whole", "h.license")).withColumn("score", F.when(F.col("whole").isNotNull(), F.col("whole_score")).when(F.col("h.license").isNotNull(), F.col("h.score")).otherwise(F.greatest(*[f"{k}_score" for k in KINDS])))
-    own = own.withColumn("basis", F.when(F.col("whole").isNotNull(), "file").when(F.col("h.license").isNotNull(), "header").otherwise("none"))
+    own = own.withColumn("basis", F.when(F.col("whole").isNotNull() | (named & F.col("h.license").isNotNull()), "file").when(F.col("h.license").isNotNull(), "header").otherwise("none"))
     own = own.select("doc_id", "path", "n_words", "license", "score", "basis")
     by_dir = materialize(own.where("basis = 'file' and path is not null").groupBy(directory(F.col("path")).alias("dir")).agg(F.min(F.struct("path", "license")).alias("f")).selectExpr("dir", "f.path as inherited_from", "f.license as inherited"), "directories")
     if by_dir.isEmpty():
