@@ -5,6 +5,10 @@ are a passage; lines of level 0 are the message's own words. A quoted line is no
 than letters and digits one space, ends trimmed) and hashed with its conversation; it belongs to the earliest
 message of the conversation that says the line in its own words, if that message is earlier. Only that
 one message per line is joined, by a pre-aggregated minimum, so a line that everybody says costs one row.
+A quoted line without an equal line is looked for by its passage, whose words don't depend on where lines break: each SHINGLE words
+in a row (all words, if the passage has fewer) are hashed, and belong to the earliest message that says them in a row in one
+passage. A passage of one or two words must be a whole line or passage there. The lines that found words lie in
+are found, their original is the latest of these messages.
 A passage's original is the latest of its lines' messages; a message's parent is the original of its quotes of
 the least level (ties: the latest turn). Following parents (pointer doubling, a join per round) gives each
 message's thread and depth.
@@ -34,8 +38,40 @@ def normal(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(line), r"[^\p{L}\p{N}]+", " "))
 
 
+#: words in a row that link a passage, and the least that are looked for inside another
+SHINGLE, LEAST = 5, 3
+#: a passage is one string: level, number of its first line, then its normalised lines
+_PASSAGES = r"""filter(split(array_join(transform(said, (x, i) -> if(i = 0 or x.said = '' or said[i - 1].said = '' or said[i - 1].level <> x.level, concat('\u0003', x.level, '\u0001', i, '\u0001'), '\u0002') || x.said), ''), '\u0003'), x -> x <> '' and substring_index(x, '\u0001', -1) <> '')"""
+
+
+def passage_words(messages: DataFrame) -> DataFrame:
+    """conv_id, turn, level, words (w and the number of its line) of each passage."""
+    said = F.transform("lines", lambda x: F.struct(x["level"].alias("level"), normal(x["line"]).alias("said")))
+    p = messages.select("conv_id", "turn", said.alias("said")).select("conv_id", "turn", F.explode(F.expr(_PASSAGES)).alias("p"))
+    p = p.select("conv_id", "turn", F.split("p", "\u0001").alias("p")).selectExpr("conv_id", "turn", "cast(p[0] as int) as level", "cast(p[1] as int) as i0", "split(p[2], '\u0002') as body")
+    return p.selectExpr("conv_id", "turn", "level", "flatten(transform(body, (l, j) -> transform(split(l, ' '), w -> struct(w, i0 + j as i)))) as words")
+
+
+def shingles(passages: DataFrame, size: str) -> DataFrame:
+    """conv_id, turn, level, h, and the first and last line of all `size` words in a row of each passage."""
+    p = passages.selectExpr("*", f"{size} as n").where("n > 0 and n <= size(words)")
+    p = p.selectExpr("conv_id", "turn", "level", "inline(transform(sequence(1, size(words) - n + 1), k -> struct(slice(words, k, n) as x)))")
+    return p.selectExpr("conv_id", "turn", "level", "xxhash64(conv_id, array_join(x.w, ' ')) as h", "x[0].i as lo", "element_at(x, -1).i as hi")
+
+
+def linked_by_passage(messages: DataFrame, own_lines: DataFrame) -> DataFrame:
+    """conv_id, turn, level, i and original of each quoted line of which an earlier message says words in a row."""
+    p = passage_words(messages)
+    quoted = materialize(shingles(p.where("level > 0"), f"least(size(words), {SHINGLE})"), "shingles")
+    own = shingles(p.where("level = 0"), f"if(size(words) < {LEAST}, size(words), 0)").unionByName(shingles(p.where("level = 0").selectExpr("conv_id", "turn", "level", "words", f"explode(sequence({LEAST}, {SHINGLE})) as m"), "m"))
+    said = own.select("h", "turn").unionByName(own_lines.select("h", "turn")).join(quoted.select("h").distinct(), "h", "left_semi")
+    first = materialize(said.groupBy("h").agg(F.min("turn").alias("original")), "first_words")
+    hit = quoted.join(first, "h").where("original < turn")
+    return hit.select("conv_id", "turn", "level", F.explode(F.sequence("lo", "hi")).alias("i"), "original").groupBy("conv_id", "turn", "level", "i").agg(F.max("original").alias("original"))
+
+
 def linked_lines(messages: DataFrame) -> DataFrame:
-    """conv_id, turn, level, passage and original (turn) of each quoted line that an earlier message says."""
+    """conv_id, turn, level, i and original (turn) of each quoted line that an earlier message says, as a line or in a passage."""
     m = messages.where("conv_id is not null and turn is not null")
     lines = m.select("conv_id", "turn", F.posexplode("lines").alias("i", "x")).select("conv_id", "turn", "i", "x.level", normal(F.col("x.line")).alias("said")).where("said <> ''").withColumn("h", F.xxhash64("conv_id", "said"))
     quoted = materialize(lines.where("level > 0").select("conv_id", "turn", "level", "i", "h"), "quoted")
@@ -43,7 +79,9 @@ def linked_lines(messages: DataFrame) -> DataFrame:
         return quoted.selectExpr("conv_id", "turn", "level", "i", "turn as original")
     wanted = quoted.select("h").distinct()
     first = materialize(lines.where("level = 0").join(wanted, "h", "left_semi").groupBy("h").agg(F.min("turn").alias("original")), "first")
-    return quoted.join(first, "h").where("original < turn").select("conv_id", "turn", "level", "i", "original")
+    whole = materialize(quoted.join(first, "h").where("original < turn").select("conv_id", "turn", "level", "i", "original"), "lines")
+    parts = linked_by_passage(m, lines.where("level = 0"))
+    return whole.unionByName(parts.join(whole, ["conv_id", "turn", "level", "i"], "left_anti"))
 
 
 def parents(linked: DataFrame) -> DataFrame:
