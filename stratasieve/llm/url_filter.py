@@ -8,8 +8,9 @@ of redirects if given. Connected components of the edges, found by distributed s
 never overruled; a url without a rule is blocked if any alias of its class, page or link target, is
 blocked by a rule, else allowed.
 
-Addresses are compared without scheme and fragment, host in lower case. Relative targets that begin with one
-slash are taken with the page's host; other relative targets are no edges.
+Addresses are compared without scheme and fragment, host in lower case. Relative targets are resolved against the page's
+url (host, directory of the path, query alone, dot segments; a base element is not read); a target of another kind
+of scheme, such as mailto:, is no edge. The SQL knows quoted links, whole or from the root, only.
 
 Defined cases: a null url, or one without `://`, has host and path empty, no rule, no aliases: allow. Null html has no
 links. Repeated rows give a row each. Pages with the same address are aliases. An empty table gives no rows. Extra columns are not read.
@@ -26,6 +27,7 @@ from .common import columns, components, materialize
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 _AZ = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _CANONICAL = [r"""(?i)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*?\bhref\s*=\s*["']([^"'>]+)""", r"""(?i)<link\b[^>]*\bhref\s*=\s*["']([^"'>]+)["'][^>]*?\brel\s*=\s*["']?canonical\b"""]
+_UNQUOTED = [r"""(?i)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*?\bhref\s*=\s*([^"'>\s]+)(?=[\s>])""", r"""(?i)<link\b[^>]*\bhref\s*=\s*([^"'>\s]+)\s[^>]*?\brel\s*=\s*["']?canonical\b"""]
 _REFRESH = r"""(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*?\burl\s*=\s*["']?([^"'>\s]+)"""
 
 
@@ -56,13 +58,35 @@ def rule(h: Column, p: Column, rules=RULES) -> Column:
     return out
 
 
+def _without_dots(p: Column) -> Column:
+    """A path that begins with a slash, its dot segments removed."""
+    parts = F.split(p, "/")
+    parts = F.when(F.element_at(parts, -1).isin(".", ".."), F.concat(parts, F.array(F.lit("")))).otherwise(parts)
+    step = lambda acc, x: F.when(x == ".", acc).when(x != "..", F.concat(acc, F.array(x))).when(F.size(acc) > 1, F.slice(acc, 1, F.size(acc) - 1)).otherwise(acc)
+    return F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/")
+
+
+def resolve(url: Column, target: Column) -> Column:
+    """The target of a link on the page at url; null for schemes without `//`."""
+    p, rest = F.regexp_extract(target, r"^([^?#]*)", 1), F.regexp_extract(target, r"^[^?#]*(.*)$", 1)
+    root, base = F.concat(F.lit("http://"), host(url)), path(url)
+    folder = F.when(base == "", "/").otherwise(F.regexp_replace(base, "[^/]*$", ""))
+    return (
+        F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), target)
+        .when(target.startswith("//"), F.concat(F.lit("http:"), target))
+        .when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None))
+        .when(target.startswith("#"), url)
+        .when(p == "", F.concat(root, base, rest))
+        .otherwise(F.concat(root, _without_dots(F.when(p.startswith("/"), p).otherwise(F.concat(folder, p))), rest))
+    )
+
+
 def link_edges(pages: DataFrame) -> DataFrame:
     """source and target urls of canonical links and refreshes."""
     p = columns(pages, url="string", html="string").where("instr(url, '://') > 0 and html is not null").where(F.col("html").rlike("(?i)canonical|refresh"))
-    found = F.array(*[F.regexp_extract("html", x, 1) for x in (*_CANONICAL, _REFRESH)])
-    p = p.select("url", F.explode(F.array_distinct(found)).alias("t")).where("t <> ''")
-    target = F.when(F.instr("t", "://") > 0, F.col("t")).when(F.col("t").startswith("//"), F.concat(F.lit("http:"), F.col("t"))).when(F.col("t").startswith("/"), F.concat(F.lit("http://"), host(F.col("url")), F.col("t")))
-    return p.select(F.col("url").alias("source"), target.alias("target")).where("target is not null")
+    found = F.array(*[F.regexp_extract("html", x, 1) for x in (*_CANONICAL, *_UNQUOTED, _REFRESH)])
+    p = p.select("url", F.explode(F.array_distinct(found)).alias("t")).select("url", F.trim("t").alias("t")).where("t <> ''")
+    return p.select(F.col("url").alias("source"), resolve(F.col("url"), F.col("t")).alias("target")).where("target is not null")
 
 
 def judge(pages: DataFrame, redirects: DataFrame | None = None, rules=RULES) -> DataFrame:
