@@ -70,8 +70,8 @@ def few(ids: DataFrame) -> bool:
     return ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
 
 
-def keep_ids(df: DataFrame, ids: DataFrame, on: str, how: str) -> DataFrame:
-    """left_semi or left_anti join on an id: broadcast where the ids are few, else by shuffle."""
+def keep_ids(df: DataFrame, ids: DataFrame, on: str | list[str], how: str) -> DataFrame:
+    """left_semi or left_anti join on an id or several columns: broadcast where the ids are few, else by shuffle."""
     return df.join(F.broadcast(ids) if few(ids) else ids, on, how)
 
 

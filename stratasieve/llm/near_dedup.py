@@ -23,7 +23,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bytetext as bt
@@ -76,8 +76,12 @@ def _digests(doc: np.ndarray, h: np.ndarray, n: int) -> tuple[np.ndarray, np.nda
     return np.diff(at), *[(x[at[1:]] - x[at[:-1]]).view(np.int64) for x in sums]
 
 
+def _key() -> Column:
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+
+
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, n (set size), s1 and s2 (the set's name) and sig (VALUES 32-bit minima; empty without shingles)."""
+    """doc_id, key (hash of id and text), n (set size), s1 and s2 (the set's name) and sig (VALUES 32-bit minima; empty without shingles)."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -93,9 +97,9 @@ def sketches(docs: DataFrame) -> DataFrame:
                 off = np.zeros(t.n + 1, np.int32)
                 np.cumsum((n > 0) * 4 * VALUES, out=off[1:])
                 sigs = pa.BinaryArray.from_buffers(pa.binary(), t.n, [None, pa.py_buffer(off.tobytes()), pa.py_buffer(sig.tobytes())])
-                yield pa.RecordBatch.from_arrays([b["doc_id"].slice(i, j - i), pa.array(n, pa.int64()), pa.array(s1), pa.array(s2), sigs], ["doc_id", "n", "s1", "s2", "sig"])
+                yield pa.RecordBatch.from_arrays([b["doc_id"].slice(i, j - i), b["key"].slice(i, j - i), pa.array(n, pa.int64()), pa.array(s1), pa.array(s2), sigs], ["doc_id", "key", "n", "s1", "s2", "sig"])
 
-    return columns(docs, doc_id="long", text="string").mapInArrow(sketch, "doc_id long, n long, s1 long, s2 long, sig binary")
+    return columns(docs, doc_id="long", text="string").withColumn("key", _key()).mapInArrow(sketch, "doc_id long, key long, n long, s1 long, s2 long, sig binary")
 
 
 def _matrix(sig: pa.Array) -> np.ndarray:
@@ -243,6 +247,11 @@ def _rest(members: DataFrame, labels: DataFrame, classes: DataFrame, sets: DataF
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id reachable) and kept."""
+    return _decided(docs, percent).drop("key")
+
+
+def _decided(docs: DataFrame, percent: int) -> DataFrame:
+    """near_duplicates() and key, the hash of a row's id and text."""
     all_ = materialize(sketches(docs), "sketches")
     classes = materialize(all_.where("n > 0 and doc_id is not null").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "classes")
     bands = _bands(classes)
@@ -261,22 +270,24 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
         if not more.isEmpty():
             labels = materialize(components(edges.unionByName(more)), "labels")
     release(buckets, members, ids, sets, likely, edges)
-    out = all_.select("doc_id", "n", "s1", "s2").join(classes.select("n", "s1", "s2", "rep"), ["n", "s1", "s2"], "left")
+    out = all_.select("doc_id", "key", "n", "s1", "s2").join(classes.select("n", "s1", "s2", "rep"), ["n", "s1", "s2"], "left")
     out = out.join(labels.selectExpr("node as rep", "component"), "rep", "left")
     c = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), c.alias("component_id"), F.coalesce(c == F.col("doc_id"), F.lit(True)).alias("kept"))
+    return out.select("doc_id", "key", F.col("n").alias("n_shingles"), c.alias("component_id"), F.coalesce(c == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """docs, all columns, with one document of each component; of rows that repeat an id one stays."""
-    got = materialize(near_duplicates(docs, percent), "near")
-    out = keep_ids(docs, got.where("not kept").select("doc_id").distinct(), "doc_id", "left_anti")
-    twice = got.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    """docs, all columns, with one document of each component. Rows are told apart by id and text; of rows that repeat both one stays."""
+    key, number = "hash of its id and text", "row number of its id and text"
+    got = materialize(_decided(docs, percent), "near").withColumnRenamed("key", key)
+    cols = [F.col(f"`{c}`") for c in docs.columns]
+    out = keep_ids(docs.withColumn(key, _key()), got.where("not kept").select("doc_id", key).distinct(), ["doc_id", key], "left_anti")
+    twice = got.where("kept and doc_id is not null").groupBy("doc_id", key).agg(F.count("*").alias("n")).where("n > 1").select("doc_id", key)
     if twice.isEmpty():
-        return out
-    rest = keep_ids(out, twice, "doc_id", "left_semi")
-    one = rest.selectExpr("*", "row_number() over (partition by doc_id order by sha2(text, 256)) as `row number of its id`").where("`row number of its id` = 1").drop("row number of its id")
-    return keep_ids(out, twice, "doc_id", "left_anti").unionByName(one)
+        return out.select(*cols)
+    rest = keep_ids(out, twice, ["doc_id", key], "left_semi")
+    one = rest.selectExpr("*", f"row_number() over (partition by doc_id, `{key}` order by sha2(text, 256)) as `{number}`").where(f"`{number}` = 1")
+    return keep_ids(out, twice, ["doc_id", key], "left_anti").select(*cols).unionByName(one.select(*cols))
 
 
 def op10_near_dedup(spark, sf_dir: str) -> DataFrame:
