@@ -3,22 +3,26 @@
 from __future__ import annotations
 
 import atexit
+import logging
 import tempfile
 import uuid
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: An id column of this many rows (8 bytes each) may be broadcast; above it a shuffled join is used.
-BROADCAST_IDS = 250_000
+#: bits of the filter that goes before a shuffled join, 16 MB of them at most whatever the size of the tables
+FILTER_BITS = 1 << 27
 
-_scratch: list[tuple[SparkSession, str]] = []
+_scratch: list[tuple[object, str]] = []
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a folder of its own only where that is unset (tests)."""
+    """The shared folder named by spark.checkpoint.dir. Only a local session (tests) makes one of its own; on a cluster its absence is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="stratasieve-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -31,7 +35,7 @@ def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     df.write.parquet(path)
     if not _scratch:
         atexit.register(_clean)
-    _scratch.append((spark, path))
+    _scratch.append((spark.sparkContext._jsc.hadoopConfiguration(), path))
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out
@@ -40,23 +44,24 @@ def materialize(df: DataFrame, name: str = "t") -> DataFrame:
 def release(*tables: DataFrame) -> None:
     """Delete written tables that nothing lazy reads any more. The others go at the end of the program."""
     gone = {t._scratch for t in tables}
-    for spark, path in _scratch:
+    for conf, path in _scratch:
         if path in gone:
-            _delete(spark, path)
+            _delete(conf, path)
     _scratch[:] = [x for x in _scratch if x[1] not in gone]
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+def _delete(conf: object, path: str) -> None:
+    p = SparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(conf).delete(p, True)
 
 
 def _clean() -> None:
-    try:
-        for spark, path in _scratch:
-            _delete(spark, path)
-    except Exception:  # noqa: BLE001  the session has ended already
-        pass
+    """At the end of the program; the JVM outlives a session that has been stopped."""
+    for conf, path in _scratch:
+        try:
+            _delete(conf, path)
+        except Exception as e:  # noqa: BLE001  nothing can be done here but to say what is left
+            logging.getLogger(__name__).warning("not deleted: %s (%s)", path, e)
 
 
 def columns(df: DataFrame, **types: str) -> DataFrame:
@@ -65,14 +70,21 @@ def columns(df: DataFrame, **types: str) -> DataFrame:
     return df.select(*[(F.col(f"`{have[k]}`") if k in have else F.lit(None)).cast(t).alias(k) for k, t in types.items()])
 
 
-def few(ids: DataFrame) -> bool:
-    """Whether ids has at most BROADCAST_IDS rows, by reading no more than that."""
-    return ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+def near(df: DataFrame, key: Column, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows whose key may be among the hashes `key` of wanted, rows whose key is not).
 
-
-def keep_ids(df: DataFrame, ids: DataFrame, on: str | list[str], how: str) -> DataFrame:
-    """left_semi or left_anti join on an id or several columns: broadcast where the ids are few, else by shuffle."""
-    return df.join(F.broadcast(ids) if few(ids) else ids, on, how)
+    wanted becomes a bitmap of FILTER_BITS bits, a table of at most FILTER_BITS / 64 rows that is broadcast at every size of the input;
+    only the first part, which holds every wanted row and few others, need be shuffled for the exact join that follows.
+    Beyond some 10^8 wanted keys the bitmap fills up and the first part nears the whole table; the result is the same.
+    """
+    slot = lambda k: f"({k} & {FILTER_BITS - 1}L)"
+    bits = wanted.selectExpr(f"{slot('key')} as s").groupBy(F.expr("shiftright(s, 6)").alias("word of the filter")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 63 as int))")).alias("bits of the filter"))
+    bits = materialize(bits, "filter")
+    d = df.withColumn("slot of the filter", key.bitwiseAND(F.lit(FILTER_BITS - 1).cast("long")))
+    d = d.join(F.broadcast(bits), F.shiftright("slot of the filter", 6) == F.col("word of the filter"), "left")
+    hit = F.expr("coalesce(shiftrightunsigned(`bits of the filter`, cast(`slot of the filter` & 63 as int)) & 1, 0) = 1")
+    cols = [F.col(f"`{c}`") for c in df.columns]
+    return d.where(hit).select(*cols), d.where(~hit).select(*cols)
 
 
 def crc_mod(doc_id: Column, n: int) -> Column:

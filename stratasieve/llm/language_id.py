@@ -65,36 +65,39 @@ class Chars:
     def __init__(self, words: list[str]) -> None:
         self.size = np.array([len(w) + 1 for w in words], np.int64)
         self.start = np.concatenate(([0], np.cumsum(self.size)))
-        text = np.frombuffer((MARK + MARK.join(words) if words else "").encode("utf-32-le", "surrogatepass"), np.uint32)
-        p, self.ip = bt._powers(len(text) + 1)
-        self.p = np.zeros(len(text) + 1, np.uint64)
-        np.cumsum((text.astype(np.uint64) + np.uint64(1)) * p[: len(text)], out=self.p[1:])
-        self.n = len(text)
+        self.text = np.frombuffer((MARK + MARK.join(words) if words else "").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        self.n = len(self.text)
 
-    def substrings(self, at: np.ndarray, k: int) -> np.ndarray:
-        return bt.mix((self.p[at + k] - self.p[at]) * self.ip[at] ^ np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64)))
+    def substrings(self, end: np.ndarray, longest: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For 1, 2, ... characters: the places whose substring lies before `end`, and its hash, folded a character at a time."""
+        at = np.arange(self.n)
+        h = np.zeros(self.n, np.uint64)
+        for k in range(1, longest + 1):
+            ok = at + k <= end[at]
+            at, h = at[ok], h[ok]
+            h = bt.join(h, self.text[at + k - 1] + np.uint64(1))
+            yield at, h
 
 
 class Lookup:
     """Ids of pieces by substring hash."""
 
     def __init__(self, vocabulary: list[str]) -> None:
-        h = np.array([Chars([p[1:]]).substrings(np.zeros(1, np.int64), len(p))[0] if p[0] == MARK else self._plain(p) for p in vocabulary], np.uint64)
         self.longest = max(map(len, vocabulary), default=1)
+        c = Chars([p.removeprefix(MARK) for p in vocabulary])
+        begin = c.start[:-1] + np.array([not p.startswith(MARK) for p in vocabulary], bool)
+        h = np.zeros(len(vocabulary), np.uint64)
+        for k, (at, got) in enumerate(c.substrings(np.repeat(c.start[1:], c.size), self.longest), 1):
+            rows = np.flatnonzero(c.start[1:] - begin == k)
+            h[rows] = got[np.searchsorted(at, begin[rows])]
         self.id = np.argsort(h)
         self.hash = h[self.id]
 
-    @staticmethod
-    def _plain(p: str) -> np.uint64:
-        return Chars([p]).substrings(np.ones(1, np.int64), len(p))[0]
-
     def ids(self, c: Chars) -> np.ndarray:
         """[position, length - 1] -> id of the piece there, -1 for none or beyond the word's end."""
         out = np.full((c.n, self.longest), -1, np.int32)
         end = np.repeat(c.start[1:], c.size)
-        for k in range(1, self.longest + 1):
-            at = np.flatnonzero(np.arange(c.n) + k <= end)
-            h = c.substrings(at, k)
+        for k, (at, h) in enumerate(c.substrings(end, self.longest), 1):
             i = np.searchsorted(self.hash, h)
             i[i == len(self.hash)] = 0
             ok = self.hash[i] == h

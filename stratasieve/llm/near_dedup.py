@@ -1,17 +1,20 @@
 """MinHash near-duplicates with sequential Bayesian verification.
 
 A document's set is its distinct SHINGLE-word shingles (fewer words: the whole sequence). Documents of equal
-sets are one class, found by a hash aggregate, and only one representative of each goes on. A class's signature is
+sets (by size and 128 bits of two independent hashes) are one class, found by an aggregate, and only the text of one of them goes on. A class's signature is
 VALUES minima in BANDS bands; two classes at the threshold miss each other in all bands with probability
-(1 - T^ROWS)^BANDS, 4e-7 for the defaults. Candidates of a bucket are first its members with the bucket's
-least member; then, where the documents that buckets connect still are several components, what is outside the
-largest is compared with the others in blocks. In both, signatures are compared batch by batch and a pair
-is pruned once the posterior probability of T or more (uniform prior) falls under MISS. Survivors are
-verified on their full sets. A component needs only links that join it, so links inside a component aren't
-sought any more; every other candidate pair is tested. No list of pairs, links or components is ever on the driver.
-
-Defined cases: null or empty texts have no shingles, n_shingles 0, and are linked with nothing. Repeated
-rows (same id) are of one class if the text is the same, else each is judged by its own text. A null doc_id is
+(1 - T^ROWS)^BANDS, 4e-7 for the defaults. Candidates are classes that share a bucket, a band's values.
+
+First each bucket's members are compared with its least member. Then, in buckets whose members still are of several components, those
+outside the bucket's largest one are compared with all others, in blocks of BLOCK members that hold signatures only. Each time signatures are compared batch by batch and a pair
+is pruned once the posterior probability of T or more (uniform prior) falls under MISS; survivors are verified word by word on their
+whole texts. A block with more than DENSE survivors for each of its members gives a forest of them, likeliest first; where that leaves its bucket in several
+components, the bucket's members are compared in blocks that hold the texts, and a pair is verified there unless a link found before joins it.
+So rows grow with the members of buckets, and a component needs only links that join it; every other candidate pair is
+tested. No list of pairs, links or components is ever on the driver.
+
+Defined cases: null or empty texts have no shingles, n_shingles 0, and are linked with nothing. Rows are told apart by id and text: repeated
+rows are of one class, and rows of one id with different texts are each judged by their own. A null doc_id is
 linked with nothing: component_id null, kept true. Equal sets in different orders are one class. An
 empty table gives no rows. Extra columns are not read.
 """
@@ -23,19 +26,25 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import bytetext as bt
-from .common import columns, components, keep_ids, materialize, release
+from .common import columns, components, materialize, near, release
 
 SHINGLE = 5
 BANDS, ROWS = 20, 4
 VALUES = BANDS * ROWS
 BATCH = 16
 MISS = 1e-6
-#: members of a bucket that are compared with each other in one step of a task
-BLOCK = 512
+#: members of a bucket in a block, where signatures are compared and where texts are
+BLOCK, TEXT_BLOCK = 2048, 256
+#: survivors for each member of a block, above which only a forest of them is emitted
+DENSE = 8
+#: pairs whose signatures are compared in one step of a task
+STEP = 1 << 17
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _XOR = _rng.integers(0, 1 << 63, VALUES, dtype=np.uint64)
 _MUL = _rng.integers(0, 1 << 63, VALUES, dtype=np.uint64) | np.uint64(1)
@@ -55,24 +64,26 @@ def least_matches(threshold: float, miss: float = MISS) -> list[tuple[int, int]]
     return out
 
 
-def shingle_sets(t: bt.Texts, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """(text, hash) of each distinct shingle, by text and hash."""
+def shingle_sets(t: bt.Texts, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, hash, hash of another kind) of each distinct shingle, by text and hash."""
     w = t.words(bt.NOT_SPACE, True)
-    at, g = w.grams(k)
+    at = w.starts(k)
     short = np.flatnonzero((w.count > 0) & (w.count < k))
+    begin, end = np.concatenate((at, w.first[short])), np.concatenate((at + k, w.first[short + 1]))
     doc = np.concatenate((w.doc[at], short))
-    h = np.concatenate((g, w.runs(w.first[short], w.first[short + 1])))
+    h = w.runs(begin, end)
     order = np.lexsort((h, doc))
     doc, h = doc[order], h[order]
     new = np.ones(len(h), bool)
     new[1:] = (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])
-    return doc[new], h[new]
+    rows = order[new]
+    return doc[new], h[new], w.other(1).runs(begin[rows], end[rows])
 
 
-def _digests(doc: np.ndarray, h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _digests(doc: np.ndarray, hashes: tuple[np.ndarray, np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Set size and two 64-bit sums that name a set, by text."""
     at = np.searchsorted(doc, np.arange(n + 1))
-    sums = [np.concatenate((np.zeros(1, np.uint64), np.cumsum(bt.mix(h ^ np.uint64(s))))) for s in (0x5851F42D4C957F2D, 0x14057B7EF767814F)]
+    sums = [np.concatenate((np.zeros(1, np.uint64), np.cumsum(bt.mix(h ^ np.uint64(0x5851F42D4C957F2D))))) for h in hashes]
     return np.diff(at), *[(x[at[1:]] - x[at[:-1]]).view(np.int64) for x in sums]
 
 
@@ -86,8 +97,8 @@ def sketches(docs: DataFrame) -> DataFrame:
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, j, t in bt.slices(b["text"]):
-                doc, h = shingle_sets(t)
-                n, s1, s2 = _digests(doc, h, t.n)
+                doc, h, h2 = shingle_sets(t)
+                n, s1, s2 = _digests(doc, (h, h2), t.n)
                 some = np.flatnonzero(n)
                 sig = np.zeros((len(some), VALUES), np.uint32)
                 if len(some):
@@ -107,7 +118,7 @@ def _matrix(sig: pa.Array) -> np.ndarray:
 
 
 def _bands(classes: DataFrame) -> DataFrame:
-    """rep and the name of each of its buckets."""
+    """node and the name of each of its buckets."""
 
     def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -120,129 +131,220 @@ def _bands(classes: DataFrame) -> DataFrame:
                 for r in range(ROWS):
                     x = bt.mix(x * np.uint64(0x9E3779B97F4A7C15) ^ m[:, k * ROWS + r])
                 names[:, k] = x
-            rep = np.repeat(np.asarray(b["rep"]), BANDS)
-            yield pa.RecordBatch.from_arrays([pa.array(rep), pa.array(names.reshape(-1).view(np.int64))], ["rep", "b"])
+            node = np.repeat(np.asarray(b["node"]), BANDS)
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(names.reshape(-1).view(np.int64))], ["node", "b"])
 
-    return classes.select("rep", "sig").mapInArrow(bands, "rep long, b long")
+    return classes.select("node", "sig").mapInArrow(bands, "node long, b long")
+
+
+def _survivors(x: np.ndarray, y: np.ndarray, rows: np.ndarray, cols: np.ndarray, need: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Which pairs x[rows], y[cols] of signatures are not ruled out by a sequential comparison, and their matches."""
+    alive, m, seen = np.arange(len(rows)), np.zeros(len(rows), np.int64), 0
+    for t, least in need:
+        m = m + (x[rows[alive], seen:t] == y[cols[alive], seen:t]).sum(1)
+        ok = m >= least
+        alive, m, seen = alive[ok], m[ok], t
+    return alive, m
 
 
 def _prune(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Pairs a, b that sequential comparison of the signatures doesn't rule out."""
     need = least_matches(percent / 100)
-    c = classes.select("rep", "n", "sig")
-    left, right = (c.withColumnsRenamed({"rep": x, "n": f"n{x}", "sig": f"sig{x}"}) for x in "ab")
-    p = pairs.join(left, "a").join(right, "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
+    c = classes.select("node", "n", "sig")
+    left, right = (c.withColumnsRenamed({"node": x, "n": f"n{x}", "sig": f"sig{x}"}) for x in "ab")
+    p = pairs.join(right.hint("merge"), "b").join(left.hint("merge"), "a").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
 
     def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x, y = _matrix(batch["siga"]), _matrix(batch["sigb"])
-            alive, m, seen = np.arange(len(x)), np.zeros(len(x), np.int64), 0
-            for t, least in need:
-                m[alive] += (x[alive, seen:t] == y[alive, seen:t]).sum(1)
-                alive, seen = alive[m[alive] >= least], t
+            every = np.arange(batch.num_rows)
+            alive, _ = _survivors(_matrix(batch["siga"]), _matrix(batch["sigb"]), every, every, need)
             yield pa.RecordBatch.from_arrays([batch["a"].take(pa.array(alive)), batch["b"].take(pa.array(alive))], ["a", "b"])
 
-    return p.select("a", "b", "siga", "sigb").mapInArrow(prune, "a long, b long").distinct()
+    return p.select("a", "b", "siga", "sigb").mapInArrow(prune, "a long, b long")
 
 
-def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """rep and its set (sorted 64-bit hashes) for the documents named by ids."""
+def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node and text of the classes named by nodes; other texts are not shuffled (common.near)."""
+    d = columns(docs, doc_id="long", text="string").select(_key().alias("node"), "text")
+    d, _ = near(d, F.col("node"), nodes.selectExpr("node as key"))
+    return d.join(nodes.hint("merge"), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))  # rows of a node repeat id and text
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i, j, t in bt.slices(b["text"]):
-                doc, h = shingle_sets(t)
-                off = (8 * np.searchsorted(doc, np.arange(t.n + 1))).astype(np.int32)
-                got = pa.BinaryArray.from_buffers(pa.binary(), t.n, [None, pa.py_buffer(off.tobytes()), pa.py_buffer(h.tobytes())])
-                yield pa.RecordBatch.from_arrays([b["rep"].slice(i, j - i), got], ["rep", "hashes"])
 
-    d = columns(docs, doc_id="long", text="string").withColumnRenamed("doc_id", "rep")
-    return keep_ids(d, ids, "rep", "left_semi").mapInArrow(sets, "rep long, hashes binary")
+def exact_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(text, code) of each distinct shingle, by text; codes are equal only for equal words."""
+    (_, _, t), *_ = bt.slices(texts, 1 << 62)
+    doc, code = t.words(bt.NOT_SPACE, True, False).exact_runs(SHINGLE)
+    most = int(code.max(initial=0)) + 1
+    both = np.unique(doc * most + code)
+    return both // most, both % most
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs a, b whose full sets have the similarity."""
+def similar(x: pa.Array, y: pa.Array, percent: int) -> np.ndarray:
+    """Whether the sets of x[i] and y[i] are similar enough, word by word."""
+    ok = np.zeros(len(x), bool)
+    upto = np.cumsum(np.asarray(pc.binary_length(x)).astype(np.int64) + np.asarray(pc.binary_length(y)))
+    i = 0
+    while i < len(x):
+        j = max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + bt.SLICE_BYTES, "right")))
+        m = j - i
+        doc, code = exact_sets(pa.concat_arrays([x.slice(i, m), y.slice(i, m)]))
+        n = np.bincount(doc, minlength=2 * m)
+        pair = np.sort(doc % m * (int(code.max(initial=0)) + 1) + code)
+        same = np.bincount(pair[1:][pair[1:] == pair[:-1]] // (int(code.max(initial=0)) + 1), minlength=m)
+        ok[i:j] = 100 * same >= percent * (n[:m] + n[m:] - same)
+        i = j
+    return ok
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok = np.zeros(batch.num_rows, bool)
-            for r, (x, y) in enumerate(zip(batch["x"], batch["y"])):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                same = _same(x, y)
-                ok[r] = 100 * same >= percent * (len(x) + len(y) - same)
-            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], ["a", "b"]).filter(pa.array(ok))
 
-    p = pairs.join(sets.selectExpr("rep as b", "hashes as y"), "b").join(sets.selectExpr("rep as a", "hashes as x"), "a")
-    return p.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long").distinct()
+def _verify(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Pairs a, b whose whole texts have the similarity."""
 
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], ["a", "b"]).filter(pa.array(similar(batch["x"], batch["y"], percent)))
 
-def _same(x: np.ndarray, y: np.ndarray) -> int:
-    """Size of the intersection of two sorted sets."""
-    both = np.sort(np.concatenate((x, y)), kind="stable")
-    return int((both[1:] == both[:-1]).sum())
+    p = pairs.join(texts.selectExpr("node as b", "text as y").hint("merge"), "b").join(texts.selectExpr("node as a", "text as x").hint("merge"), "a")
+    return p.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
 
 
-def _rest(members: DataFrame, labels: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
-    """Links between different components whose members share a bucket. None if no cluster of buckets holds two components.
+def _blocks(members: DataFrame, labels: DataFrame, most: int) -> DataFrame:
+    """Members of buckets that hold several components, dealt into pairs of blocks: bucket, i, j, node, c (component), out (outside the bucket's largest component) and one (whether the row is compared, or compared with).
 
-    Components that buckets connect are a cluster. Its members outside its largest component are compared with all its members, both dealt into
-    blocks of BLOCK by a hash, so that a task holds two blocks at most. A pair without a common band is no candidate; of the
-    others, signatures are compared batch by batch, and survivors are verified on their full sets, likeliest first,
-    unless a link found before joins their components already.
+    A member stands in as many pairs of blocks as its bucket has blocks of `most` members.
     """
+    m = members.join(labels.selectExpr("node", "component").hint("merge"), "node", "left").selectExpr("b as bucket", "node", "coalesce(component, node) as c")
+    m = materialize(m, "labelled")
+    sizes = m.groupBy("bucket", "c").agg(F.count("*").alias("n"))
+    opened = sizes.groupBy("bucket").agg(F.sum("n").alias("n"), F.count("*").alias("parts"), F.max(F.struct("n", "c")).alias("home")).where("parts > 1")
+    opened = materialize(opened.selectExpr("bucket", f"(n + {most - 1}) div {most} as blocks", "home.c as home"), "open")
+    m = m.join(opened.hint("merge"), "bucket").selectExpr("bucket", "node", "c", "c <> home as out", "blocks", "pmod(xxhash64(node), blocks) as k")
+    other = "explode(sequence(0L, blocks - 1)) as other"
+    one = m.where("out").selectExpr("*", other).selectExpr("bucket", "k as i", "other as j", "node", "c", "out", "true as one")
+    two = m.selectExpr("*", other).selectExpr("bucket", "other as i", "k as j", "node", "c", "out", "false as one")
+    return one.unionByName(two)
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Rows sorted by bucket, i and j: tables of whole pairs of blocks, and where each begins (the end of the last included)."""
+    held: list[pa.RecordBatch] = []
+
+    def cut(t: pa.Table, last: bool) -> tuple[pa.Table, np.ndarray, pa.Table]:
+        key = np.stack([t[c].to_numpy() for c in ("bucket", "i", "j")])
+        new = np.concatenate(([0], np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1))
+        end = t.num_rows if last else int(new[-1])
+        return t.slice(0, end), np.append(new[new < end], end), t.slice(end)
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append(b)
+        if all(held[0][c][0] == b[c][b.num_rows - 1] for c in ("bucket", "i", "j")):
+            continue
+        t, at, rest = cut(pa.Table.from_batches(held), False)
+        yield t.combine_chunks(), at
+        held = rest.to_batches()
+    if held:
+        t, at, _ = cut(pa.Table.from_batches(held), True)
+        yield t.combine_chunks(), at
+
+
+class _Forest:
+    """Components of a few numbers."""
+
+    def __init__(self) -> None:
+        self.up: dict[int, int] = {}
+
+    def find(self, x: int) -> int:
+        while (up := self.up.get(x, x)) != x:
+            self.up[x] = x = self.up.get(up, up)
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        """Whether they were apart."""
+        x, y = self.find(x), self.find(y)
+        self.up[max(x, y)] = min(x, y)
+        return x != y
+
+
+_DEALT = ["bucket", "i", "j"]
+
+
+def _across(blocks: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs a, b of different components that share a bucket and whose signatures survive; and bucket, of blocks that emit a forest only."""
+    need = least_matches(percent / 100)
+    rows = blocks.join(classes.select("node", "n", "sig").hint("merge"), "node").repartition(*_DEALT).sortWithinPartitions(*_DEALT)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, at in _groups(batches):
+            one, node, c, n, out = (np.asarray(t[k].combine_chunks()) for k in ("one", "node", "c", "n", "out"))
+            one, out = one.astype(bool), out.astype(bool)
+            group = np.repeat(np.arange(len(at) - 1), np.diff(at))
+            order = np.lexsort((one, group))  # in each group: those compared with, then those that are compared
+            one, node, c, n, out = one[order], node[order], c[order], n[order], out[order]
+            sig = _matrix(t["sig"].combine_chunks())[order]
+            n_two = np.bincount(group[~one], minlength=len(at) - 1)
+            left = np.flatnonzero(one)
+            many = n_two[group[left]]
+            upto, found = np.cumsum(many), []
+            i = 0
+            while i < len(left):
+                j = max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + STEP, "right")))
+                k = many[i:j]
+                x = np.repeat(left[i:j], k)
+                y = np.arange(len(x)) - np.repeat(np.cumsum(k) - k, k) + at[group[x]]
+                ok = (c[x] != c[y]) & (~out[y] | (node[x] < node[y])) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
+                x, y = x[ok], y[ok]
+                alive, m = _survivors(sig, sig, x, y, need)
+                found.append((x[alive].astype(np.int32), y[alive].astype(np.int32), m.astype(np.int8)))
+                i = j
+            if not found:
+                continue
+            x, y, m = (np.concatenate(z) for z in zip(*found))
+            dense = np.bincount(group[x], minlength=len(at) - 1) > DENSE * np.diff(at)
+            keep = ~dense[group[x]]
+            for g in np.flatnonzero(dense):
+                rows, forest = np.flatnonzero(group[x] == g), _Forest()
+                for r in rows[np.argsort(-m[rows], kind="stable")]:
+                    keep[r] = forest.join(int(c[x[r]]), int(c[y[r]]))
+            bucket = np.asarray(t["bucket"].combine_chunks())[at[:-1]][dense]
+            col = lambda v, tail: pa.array(np.concatenate((v, np.zeros(tail, np.int64))), mask=np.arange(len(v) + tail) >= len(v))
+            yield pa.RecordBatch.from_arrays([col(node[x[keep]], len(bucket)), col(node[y[keep]], len(bucket)), pa.array(np.concatenate((np.zeros(keep.sum(), np.int64), bucket)), mask=np.arange(keep.sum() + len(bucket)) < keep.sum())], ["a", "b", "bucket"])
+
+    return rows.select("bucket", "i", "j", "node", "c", "out", "one", "n", "sig").mapInArrow(compare, "a long, b long, bucket long")
+
+
+def _within(blocks: DataFrame, classes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Links a, b between different components of dense buckets, verified in blocks that hold the texts."""
     need = least_matches(percent / 100)
-    of = lambda x: labels.selectExpr(f"node as {x}", f"component as {x}_c")
-    pairs = members.join(of("rep"), "rep", "left").join(of("least"), "least", "left").selectExpr("coalesce(rep_c, rep) as a", "coalesce(least_c, least) as b").where("a <> b").distinct()
-    pairs = materialize(pairs, "across")
-    if pairs.isEmpty():
-        return None
-    cluster = materialize(components(pairs, "clusters").selectExpr("node as c", "component as cluster"), "clusters")
-    m = members.select("rep").distinct().join(of("rep"), "rep", "left").selectExpr("rep", "coalesce(rep_c, rep) as c")
-    m = materialize(m.join(cluster, "c"), "labelled")
-    sizes = m.groupBy("cluster", "c").agg(F.count("*").alias("n"))
-    opened = materialize(sizes.groupBy("cluster").agg(F.sum("n").alias("n"), F.max(F.struct("n", "c")).alias("home")).selectExpr("cluster", "n", "home.c as home"), "open")
-    m = materialize(m.join(opened, "cluster").selectExpr("cluster", "rep", "c", "c <> home as out", f"(n + {BLOCK - 1}) div {BLOCK} as blocks", f"pmod(xxhash64(rep), (n + {BLOCK - 1}) div {BLOCK}) as k"), "blocks")
-    sigs = classes.groupBy("rep").agg(F.first("sig").alias("sig"))
-    m = m.join(sigs, "rep").join(sets.groupBy("rep").agg(F.first("hashes").alias("hashes")), "rep")
-    other = F.explode(F.expr("sequence(0L, blocks - 1)"))
-    one = m.where("out").select("cluster", "rep", "c", "sig", "hashes", F.col("k").alias("i"), other.alias("j"), F.lit(True).alias("out"))
-    two = m.select("cluster", "rep", "c", "sig", "hashes", other.alias("i"), F.col("k").alias("j"), F.lit(False).alias("out"))
-
-    def links(key, table):  # noqa: ANN001  Spark tells its kind of function by the number of arguments
-        out = np.asarray(table["out"]).astype(bool)
-        rep, c = np.asarray(table["rep"]), np.asarray(table["c"])
-        sig = _matrix(table["sig"].combine_chunks())
-        hashes = [np.frombuffer(x.as_buffer(), np.uint64) for x in table["hashes"].combine_chunks()]
-        size = np.array([len(x) for x in hashes])
-        q = np.flatnonzero(~out)
-        root: dict[int, int] = {}
-
-        def find(x: int) -> int:
-            while (up := root.get(x, x)) != x:
-                root[x] = x = root.get(up, up)
-            return x
-
-        a, b = [], []
-        for x in np.flatnonzero(out):
-            alive = q[(c[q] != c[x]) & (100 * np.minimum(size[q], size[x]) >= percent * np.maximum(size[q], size[x]))]
-            n, seen = np.zeros(len(alive), np.int64), 0
-            for t, least in need:
-                n = n + (sig[alive, seen:t] == sig[x, seen:t]).sum(1)
-                alive, n, seen = alive[n >= least], n[n >= least], t
-            if len(alive):
-                banded = (sig[alive] == sig[x]).reshape(len(alive), BANDS, ROWS).all(2).any(1)
-                alive, n = alive[banded], n[banded]
-            for y in alive[np.lexsort((rep[alive], -n))]:
-                u, v = find(int(c[x])), find(int(c[y]))
-                if u != v and (same := _same(hashes[x], hashes[y])) * 100 >= percent * (size[x] + size[y] - same):
-                    root[max(u, v)] = min(u, v)
-                    a.append(rep[x])
-                    b.append(rep[y])
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    return one.unionByName(two).groupBy("cluster", "i", "j").applyInArrow(links, "a long, b long")
+    rows = blocks.join(classes.select("node", "n", "sig").hint("merge"), "node").join(texts.hint("merge"), "node").repartition(*_DEALT).sortWithinPartitions(*_DEALT)
+
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, at in _groups(batches):
+            a, b = [], []
+            for u, v in zip(at[:-1], at[1:]):
+                g = t.slice(u, v - u).combine_chunks()
+                one, node, c, n = (np.asarray(g[k].combine_chunks()) for k in ("one", "node", "c", "n"))
+                one, sig = one.astype(bool), _matrix(g["sig"].combine_chunks())
+                doc, code = exact_sets(g["text"].combine_chunks())
+                first = np.searchsorted(doc, np.arange(len(node) + 1))
+                sets = [code[first[k] : first[k + 1]] for k in range(len(node))]
+                forest, q = _Forest(), np.flatnonzero(~one)
+                for x in np.flatnonzero(one):
+                    y = q[(c[q] != c[x]) & (100 * np.minimum(n[q], n[x]) >= percent * np.maximum(n[q], n[x]))]
+                    alive, m = _survivors(sig, sig, np.full(len(y), x), y, need)
+                    for z in y[alive][np.lexsort((node[y[alive]], -m))]:
+                        if forest.find(int(c[x])) != forest.find(int(c[z])):
+                            same = len(np.intersect1d(sets[x], sets[z], assume_unique=True))
+                            if 100 * same >= percent * (n[x] + n[z] - same):
+                                forest.join(int(c[x]), int(c[z]))
+                                a.append(node[x])
+                                b.append(node[z])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return rows.select("bucket", "i", "j", "node", "c", "one", "n", "sig", "text").mapInArrow(links, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
@@ -250,44 +352,68 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     return _decided(docs, percent).drop("key")
 
 
+def _components(docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """node and component of the classes that have a link."""
+    bands = _bands(classes)
+    buckets = materialize(bands.groupBy("b").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("b", "least"), "buckets")
+    members = materialize(bands.join(buckets.hint("merge"), "b"), "members")
+    nodes = materialize(members.select("node").distinct(), "nodes")
+    texts = materialize(_texts(docs, nodes), "texts")
+    # the members of each bucket with its least member
+    pairs = members.where("node <> least").selectExpr("least as a", "node as b").distinct()
+    edges = materialize(_verify(materialize(_prune(pairs, classes, percent), "likely"), texts, percent), "links")
+    labels = materialize(components(edges), "labels")
+    # what that has not joined
+    more = materialize(_across(_blocks(members, labels, BLOCK), classes, percent), "across")
+    pairs = more.where("bucket is null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    found = materialize(_verify(pairs, texts, percent), "links")
+    if not found.isEmpty():
+        edges = materialize(edges.unionByName(found), "links")
+        labels = materialize(components(edges), "labels")
+    dense = more.where("bucket is not null").select(F.col("bucket").alias("b")).distinct()
+    if not dense.isEmpty():
+        found = materialize(_within(_blocks(members.join(dense.hint("merge"), "b", "left_semi"), labels, TEXT_BLOCK), classes, texts, percent), "links")
+        if not found.isEmpty():
+            labels = materialize(components(edges.unionByName(found)), "labels")
+    release(buckets, members, nodes, texts, more, edges)
+    return labels
+
+
 def _decided(docs: DataFrame, percent: int) -> DataFrame:
     """near_duplicates() and key, the hash of a row's id and text."""
     all_ = materialize(sketches(docs), "sketches")
-    classes = materialize(all_.where("n > 0 and doc_id is not null").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "classes")
-    bands = _bands(classes)
-    buckets = materialize(bands.groupBy("b").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least < most").select("b", "least"), "buckets")
-    members = materialize(bands.join(buckets, "b"), "members")
-    ids = materialize(members.select("rep").distinct(), "ids")
-    sets = materialize(_sets(docs, ids), "sets")
-    # first the members of each bucket with its least member, then what that has not joined
-    pairs = members.where("rep <> least").selectExpr("least as a", "rep as b").distinct()
-    likely = materialize(_prune(pairs, classes, percent), "likely")
-    edges = materialize(_verify(likely, sets, percent), "links")
-    labels = materialize(components(edges), "labels")
-    rest = _rest(members, labels, classes, sets, percent)
-    if rest is not None:
-        more = materialize(rest, "links")
-        if not more.isEmpty():
-            labels = materialize(components(edges.unionByName(more)), "labels")
-    release(buckets, members, ids, sets, likely, edges)
-    out = all_.select("doc_id", "key", "n", "s1", "s2").join(classes.select("n", "s1", "s2", "rep"), ["n", "s1", "s2"], "left")
-    out = out.join(labels.selectExpr("node as rep", "component"), "rep", "left")
-    c = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
-    return out.select("doc_id", "key", F.col("n").alias("n_shingles"), c.alias("component_id"), F.coalesce(c == F.col("doc_id"), F.lit(True)).alias("kept"))
+    first = F.min(F.struct("doc_id", "key"))
+    classes = materialize(all_.where("n > 0 and doc_id is not null").groupBy("n", "s1", "s2").agg(first.alias("x"), F.first("sig").alias("sig")).selectExpr("n", "s1", "s2", "x.doc_id as rep", "x.key as node", "sig"), "classes")
+    labels = _components(docs, classes, percent)
+    linked = classes.select("n", "s1", "s2", "rep", "node").join(labels.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = linked.groupBy("component").agg(F.min("rep").alias("component_id"))
+    names = materialize(linked.join(least.hint("merge"), "component").select("n", "s1", "s2", "component_id"), "names")
+    out = all_.where("doc_id is not null").select("doc_id", "key", "n", "s1", "s2").join(names.hint("merge"), ["n", "s1", "s2"], "left")
+    out = out.select("doc_id", "key", "n", F.coalesce("component_id", "doc_id").alias("component_id")).unionByName(all_.where("doc_id is null").selectExpr("doc_id", "key", "n", "doc_id as component_id"))
+    return out.select("doc_id", "key", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """docs, all columns, with one document of each component. Rows are told apart by id and text; of rows that repeat both one stays."""
-    key, number = "hash of its id and text", "row number of its id and text"
-    got = materialize(_decided(docs, percent), "near").withColumnRenamed("key", key)
+    """docs, all columns, with one document of each component. Rows are told apart by id and text; of rows that repeat both one stays (that of the least hash over its columns).
+
+    Only rows that may go are shuffled (common.near).
+    """
+    key = "hash of its id and text"
+    got = materialize(_decided(docs, percent), "near")
+    gone = got.where("not kept").select("doc_id", "key").distinct()
+    twice = got.where("kept and doc_id is not null").groupBy("doc_id", "key").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "key")
+    marked = materialize(gone.withColumn("goes", F.lit(True)).unionByName(twice.withColumn("goes", F.lit(False))), "gone")
     cols = [F.col(f"`{c}`") for c in docs.columns]
-    out = keep_ids(docs.withColumn(key, _key()), got.where("not kept").select("doc_id", key).distinct(), ["doc_id", key], "left_anti")
-    twice = got.where("kept and doc_id is not null").groupBy("doc_id", key).agg(F.count("*").alias("n")).where("n > 1").select("doc_id", key)
+    ident = next(c for c in docs.columns if c.lower() == "doc_id")
+    d, rest = near(docs.withColumn(key, _key()), F.col(f"`{key}`"), marked)
+    m = marked.selectExpr("doc_id as `id of a copy`", "key as `key of a copy`", "goes as `goes as a copy`")
+    d = d.join(m.hint("merge"), F.expr(f"`{key}` = `key of a copy` and cast(`{ident}` as long) = `id of a copy`"), "left")
+    stay = d.where("`goes as a copy` is null").select(*cols).unionByName(rest.select(*cols))
     if twice.isEmpty():
-        return out.select(*cols)
-    rest = keep_ids(out, twice, ["doc_id", key], "left_semi")
-    one = rest.selectExpr("*", f"row_number() over (partition by doc_id, `{key}` order by sha2(text, 256)) as `{number}`").where(f"`{number}` = 1")
-    return keep_ids(out, twice, ["doc_id", key], "left_anti").select(*cols).unionByName(one.select(*cols))
+        return stay
+    hashed = [F.col(f"`{f.name}`") for f in docs.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    one = d.where("not `goes as a copy`").groupBy("id of a copy", "key of a copy").agg(F.min_by(F.struct(*cols), F.xxhash64(*hashed)).alias("row"))
+    return stay.unionByName(one.select(*[F.col(f"row.`{c}`") for c in docs.columns]))
 
 
 def op10_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -56,7 +56,7 @@ def base_counts(t: bt.Texts) -> list[np.ndarray]:
     solid = np.concatenate(([0], np.cumsum(bt.NOT_SPACE[t.data])))
     has = solid[end] > solid[begin]
     begin, end, row = begin[has], end[has], row[has]
-    _, first = bt.first_of_equal(row, bt.spans(t.prefix(t.data), begin, end))
+    _, first = bt.first_of_equal(row, bt.spans(t.data, begin, end))
     dup = np.bincount(row[~first], minlength=t.n)
     at, g = w.grams(3)
     n, _ = bt.first_of_equal(w.doc[at], g)
