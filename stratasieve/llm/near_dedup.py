@@ -40,7 +40,7 @@ VALUES = BANDS * ROWS
 BATCH = 16
 MISS = 1e-6
 #: members of a bucket in a block, where signatures are compared and where texts are
-BLOCK, TEXT_BLOCK = 2048, 256
+BLOCK, TEXT_BLOCK = 8192, 256
 #: survivors for each member of a block, above which only a forest of them is emitted
 DENSE = 8
 #: pairs whose signatures are compared in one step of a task
@@ -88,7 +88,7 @@ def _digests(doc: np.ndarray, hashes: tuple[np.ndarray, np.ndarray], n: int) ->
 
 
 def _key() -> Column:
-    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return F.xxhash64(F.col("doc_id").try_cast("long"), F.col("text").cast("string"))
 
 
 def sketches(docs: DataFrame) -> DataFrame:
@@ -211,9 +211,9 @@ def _verify(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 
 
 def _blocks(members: DataFrame, labels: DataFrame, most: int) -> DataFrame:
-    """Members of buckets that hold several components, dealt into pairs of blocks: bucket, i, j, node, c (component), out (outside the bucket's largest component) and one (whether the row is compared, or compared with).
+    """Members of buckets that hold several components, dealt into pairs of blocks i <= j: bucket, i, j, node, c (component), out (outside the bucket's largest component) and k, the member's block.
 
-    A member stands in as many pairs of blocks as its bucket has blocks of `most` members.
+    A member stands in as many pairs of blocks as its bucket has blocks of about `most` members.
     """
     m = members.join(labels.selectExpr("node", "component").hint("merge"), "node", "left").selectExpr("b as bucket", "node", "coalesce(component, node) as c")
     m = materialize(m, "labelled")
@@ -221,10 +221,8 @@ def _blocks(members: DataFrame, labels: DataFrame, most: int) -> DataFrame:
     opened = sizes.groupBy("bucket").agg(F.sum("n").alias("n"), F.count("*").alias("parts"), F.max(F.struct("n", "c")).alias("home")).where("parts > 1")
     opened = materialize(opened.selectExpr("bucket", f"(n + {most - 1}) div {most} as blocks", "home.c as home"), "open")
     m = m.join(opened.hint("merge"), "bucket").selectExpr("bucket", "node", "c", "c <> home as out", "blocks", "pmod(xxhash64(node), blocks) as k")
-    other = "explode(sequence(0L, blocks - 1)) as other"
-    one = m.where("out").selectExpr("*", other).selectExpr("bucket", "k as i", "other as j", "node", "c", "out", "true as one")
-    two = m.selectExpr("*", other).selectExpr("bucket", "other as i", "k as j", "node", "c", "out", "false as one")
-    return one.unionByName(two)
+    m = m.selectExpr("*", "explode(sequence(0L, blocks - 1)) as other")
+    return m.selectExpr("bucket", "least(k, other) as i", "greatest(k, other) as j", "node", "c", "out", "k")
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
@@ -272,68 +270,101 @@ class _Forest:
 _DEALT = ["bucket", "i", "j"]
 
 
+_PAIRED = ["bucket", "i", "j", "k"]
+
+
+class _Group:
+    """Survivors of one pair of blocks: all of them, or a forest once they are more than DENSE for each row."""
+
+    def __init__(self, c: np.ndarray) -> None:
+        self.label, self.dense, self.n, self.kept = c.copy(), False, 0, []
+
+    def add(self, x: np.ndarray, y: np.ndarray, m: np.ndarray) -> None:
+        self.n += len(x)
+        self.kept.append((x, y, m))
+        if self.dense or self.n > DENSE * len(self.label):
+            parts = self.kept if not self.dense else self.kept[-1:]
+            done = [] if not self.dense else self.kept[:-1]
+            self.dense = True
+            x, y, m = (np.concatenate(z) for z in zip(*parts))
+            order, at = np.argsort(-m, kind="stable"), []
+            x, y, m = x[order], y[order], m[order]
+            left = np.flatnonzero(self.label[x] != self.label[y])
+            while len(left):  # as often as components join: fewer times than there are rows
+                at.append(left[0])
+                a, b = self.label[x[left[0]]], self.label[y[left[0]]]
+                self.label[self.label == b] = a
+                left = left[self.label[x[left]] != self.label[y[left]]]
+            self.kept = [*done, (x[at], y[at], m[at])]
+
+
 def _across(blocks: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Pairs a, b of different components that share a bucket and whose signatures survive; and bucket, of blocks that emit a forest only."""
     need = least_matches(percent / 100)
-    rows = blocks.join(classes.select("node", "n", "sig").hint("merge"), "node").repartition(*_DEALT).sortWithinPartitions(*_DEALT)
+    rows = blocks.join(classes.select("node", "n", "sig").hint("merge"), "node").repartition(*_DEALT).sortWithinPartitions(*_PAIRED)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, at in _groups(batches):
-            one, node, c, n, out = (np.asarray(t[k].combine_chunks()) for k in ("one", "node", "c", "n", "out"))
-            one, out = one.astype(bool), out.astype(bool)
+            i, j, k, node, c, n, out = (np.asarray(t[x].combine_chunks()) for x in ("i", "j", "k", "node", "c", "n", "out"))
+            sig = _matrix(t["sig"].combine_chunks())
             group = np.repeat(np.arange(len(at) - 1), np.diff(at))
-            order = np.lexsort((one, group))  # in each group: those compared with, then those that are compared
-            one, node, c, n, out = one[order], node[order], c[order], n[order], out[order]
-            sig = _matrix(t["sig"].combine_chunks())[order]
-            n_two = np.bincount(group[~one], minlength=len(at) - 1)
-            left = np.flatnonzero(one)
-            many = n_two[group[left]]
-            upto, found = np.cumsum(many), []
-            i = 0
-            while i < len(left):
-                j = max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + STEP, "right")))
-                k = many[i:j]
-                x = np.repeat(left[i:j], k)
-                y = np.arange(len(x)) - np.repeat(np.cumsum(k) - k, k) + at[group[x]]
+            first = np.bincount(group[k == i], minlength=len(at) - 1)  # rows of the first block of each group, which stand first
+            # who is outside the largest component is compared with the other block, or with all of its own
+            left = np.flatnonzero(out)
+            g = group[left]
+            alone, low = i[left] == j[left], k[left] == i[left]
+            begin = np.where(alone | ~low, at[g], at[g] + first[g])
+            many = np.where(alone | low, at[g + 1], at[g] + first[g]) - begin
+            upto, found = np.cumsum(many), {}
+            a = 0
+            while a < len(left):
+                b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + STEP, "right")))
+                size = many[a:b]
+                x = np.repeat(left[a:b], size)
+                y = np.arange(len(x)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(begin[a:b], size)
                 ok = (c[x] != c[y]) & (~out[y] | (node[x] < node[y])) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
                 x, y = x[ok], y[ok]
                 alive, m = _survivors(sig, sig, x, y, need)
-                found.append((x[alive].astype(np.int32), y[alive].astype(np.int32), m.astype(np.int8)))
-                i = j
+                x, y = x[alive], y[alive]
+                cut = np.flatnonzero(np.diff(group[x])) + 1
+                for rx, ry, rm in zip(np.split(x, cut), np.split(y, cut), np.split(m, cut)):
+                    if len(rx):
+                        q = int(group[rx[0]])
+                        if q not in found:
+                            found[q] = _Group(c[at[q] : at[q + 1]])
+                        found[q].add(rx - at[q], ry - at[q], rm)
+                a = b
             if not found:
                 continue
-            x, y, m = (np.concatenate(z) for z in zip(*found))
-            dense = np.bincount(group[x], minlength=len(at) - 1) > DENSE * np.diff(at)
-            keep = ~dense[group[x]]
-            for g in np.flatnonzero(dense):
-                rows, forest = np.flatnonzero(group[x] == g), _Forest()
-                for r in rows[np.argsort(-m[rows], kind="stable")]:
-                    keep[r] = forest.join(int(c[x[r]]), int(c[y[r]]))
-            bucket = np.asarray(t["bucket"].combine_chunks())[at[:-1]][dense]
-            col = lambda v, tail: pa.array(np.concatenate((v, np.zeros(tail, np.int64))), mask=np.arange(len(v) + tail) >= len(v))
-            yield pa.RecordBatch.from_arrays([col(node[x[keep]], len(bucket)), col(node[y[keep]], len(bucket)), pa.array(np.concatenate((np.zeros(keep.sum(), np.int64), bucket)), mask=np.arange(keep.sum() + len(bucket)) < keep.sum())], ["a", "b", "bucket"])
+            x = np.concatenate([z[0] + at[q] for q, f in found.items() for z in f.kept])
+            y = np.concatenate([z[1] + at[q] for q, f in found.items() for z in f.kept])
+            bucket = np.asarray(t["bucket"].combine_chunks())[at[[q for q, f in found.items() if f.dense]]]
+            pairs, dense = len(x), len(bucket)
+            none = lambda size: np.zeros(size, np.int64)
+            of_bucket = np.arange(pairs + dense) >= pairs
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((node[x], none(dense))), mask=of_bucket), pa.array(np.concatenate((node[y], none(dense))), mask=of_bucket), pa.array(np.concatenate((none(pairs), bucket)), mask=~of_bucket)], ["a", "b", "bucket"])
 
-    return rows.select("bucket", "i", "j", "node", "c", "out", "one", "n", "sig").mapInArrow(compare, "a long, b long, bucket long")
+    return rows.select(*_PAIRED, "node", "c", "out", "n", "sig").mapInArrow(compare, "a long, b long, bucket long")
 
 
 def _within(blocks: DataFrame, classes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Links a, b between different components of dense buckets, verified in blocks that hold the texts."""
     need = least_matches(percent / 100)
-    rows = blocks.join(classes.select("node", "n", "sig").hint("merge"), "node").join(texts.hint("merge"), "node").repartition(*_DEALT).sortWithinPartitions(*_DEALT)
+    rows = blocks.join(classes.select("node", "n", "sig").hint("merge"), "node").join(texts.hint("merge"), "node").repartition(*_DEALT).sortWithinPartitions(*_PAIRED)
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, at in _groups(batches):
             a, b = [], []
             for u, v in zip(at[:-1], at[1:]):
                 g = t.slice(u, v - u).combine_chunks()
-                one, node, c, n = (np.asarray(g[k].combine_chunks()) for k in ("one", "node", "c", "n"))
-                one, sig = one.astype(bool), _matrix(g["sig"].combine_chunks())
+                i, j, k, node, c, n, out = (np.asarray(g[x].combine_chunks()) for x in ("i", "j", "k", "node", "c", "n", "out"))
+                sig = _matrix(g["sig"].combine_chunks())
                 doc, code = exact_sets(g["text"].combine_chunks())
                 first = np.searchsorted(doc, np.arange(len(node) + 1))
-                sets = [code[first[k] : first[k + 1]] for k in range(len(node))]
-                forest, q = _Forest(), np.flatnonzero(~one)
-                for x in np.flatnonzero(one):
-                    y = q[(c[q] != c[x]) & (100 * np.minimum(n[q], n[x]) >= percent * np.maximum(n[q], n[x]))]
+                sets = [code[first[x] : first[x + 1]] for x in range(len(node))]
+                forest = _Forest()
+                for x in np.flatnonzero(out):
+                    y = np.flatnonzero(((k != k[x]) | (i == j)) & (c != c[x]) & (~out | (node[x] < node)) & (100 * np.minimum(n, n[x]) >= percent * np.maximum(n, n[x])))
                     alive, m = _survivors(sig, sig, np.full(len(y), x), y, need)
                     for z in y[alive][np.lexsort((node[y[alive]], -m))]:
                         if forest.find(int(c[x])) != forest.find(int(c[z])):
@@ -344,7 +375,7 @@ def _within(blocks: DataFrame, classes: DataFrame, texts: DataFrame, percent: in
                                 b.append(node[z])
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return rows.select("bucket", "i", "j", "node", "c", "one", "n", "sig", "text").mapInArrow(links, "a long, b long")
+    return rows.select(*_PAIRED, "node", "c", "out", "n", "sig", "text").mapInArrow(links, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
@@ -407,7 +438,7 @@ def drop_near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     ident = next(c for c in docs.columns if c.lower() == "doc_id")
     d, rest = near(docs.withColumn(key, _key()), F.col(f"`{key}`"), marked)
     m = marked.selectExpr("doc_id as `id of a copy`", "key as `key of a copy`", "goes as `goes as a copy`")
-    d = d.join(m.hint("merge"), F.expr(f"`{key}` = `key of a copy` and cast(`{ident}` as long) = `id of a copy`"), "left")
+    d = d.join(m.hint("merge"), F.expr(f"`{key}` = `key of a copy` and try_cast(`{ident}` as long) = `id of a copy`"), "left")
     stay = d.where("`goes as a copy` is null").select(*cols).unionByName(rest.select(*cols))
     if twice.isEmpty():
         return stay
