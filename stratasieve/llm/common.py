@@ -65,9 +65,9 @@ def _clean() -> None:
 
 
 def columns(df: DataFrame, **types: str) -> DataFrame:
-    """Only the named columns, cast; a missing one is null. Other columns, whatever their names, are not carried along."""
+    """Only the named columns, cast (an id that is no number is null); a missing one is null. Other columns, whatever their names, are not carried along."""
     have = {c.lower(): c for c in df.columns}
-    return df.select(*[(F.col(f"`{have[k]}`") if k in have else F.lit(None)).cast(t).alias(k) for k, t in types.items()])
+    return df.select(*[(F.col(f"`{have[k]}`") if k in have else F.lit(None)).try_cast(t).alias(k) for k, t in types.items()])
 
 
 def near(df: DataFrame, key: Column, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:

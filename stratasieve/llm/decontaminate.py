@@ -4,11 +4,11 @@ Every window (WINDOW consecutive item words; a shorter item is one window) is a
 are ordered by rarity over all documents; since a window must occur whole, its necessary prefix is its
 one rarest shingle. A document word run is a candidate only where it equals a prefix shingle; the
 shingle's place in the window fixes where the window would begin (positional bound) and it must end
-inside the document (length bound). Survivors are compared word by word.
+inside the document (length bound). Survivors are compared word by word, in their bytes.
 
-The items' windows are broadcast, after a check that they are at most MAX_WORDS words together; more
-items are taken in blocks of that many words, each block against all documents, and the
-blocks' results are merged per text by hash.
+Items are taken in blocks of at most MAX_WORDS words (a longer item is a block alone), whose windows are broadcast, one block at a time:
+counted over all documents, then looked for in all documents; a block's hits are written and its broadcast is
+destroyed before the next one is read. Hits are merged per document. A benchmark of one block takes the same way.
 
 Defined cases: null or empty texts have no words and no hits; an item without words, or null, has no
 windows. A null item_id still marks words as hit but is not listed or counted; repeated item ids count
@@ -22,11 +22,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytetext as bt
-from .common import columns, materialize
+from .common import columns, materialize, near
 
 WINDOW = 10
 SHINGLE = 3
@@ -53,10 +54,8 @@ class Windows:
         key, length = w.runs(at, at + size[item]), size[item]
         self.key, first, inverse = np.unique(key, return_index=True, return_inverse=True)
         self.len = length[first]
-        self.word = np.zeros((len(first), window), np.uint64)
-        for k in range(window):
-            ok = self.len > k
-            self.word[ok, k] = w.hash[at[first[ok]] + k]
+        self.words = w.bytes_of(np.arange(len(w.start)))
+        self.begin = at[first]  # of each window's first word among them
         pair = np.unique(np.stack((inverse, ids[item]), 1)[ids[item] >= 0], axis=0) if len(item) else np.zeros((0, 2), np.int64)
         self.item, self.item_at = pair[:, 1], np.searchsorted(pair[:, 0], np.arange(len(first) + 1))
         # shingles of each window: their hash and place
@@ -101,9 +100,9 @@ class Windows:
             ok = w.runs(start, start + self.len[win]) == self.key[win]
             win, start = win[ok], start[ok]
             same = np.ones(len(win), bool)
-            for k in range(self.word.shape[1]):
-                has = self.len[win] > k
-                same[has] &= w.hash[start[has] + k] == self.word[win[has], k]
+            for k in range(int(self.len[win].max(initial=0))):
+                has = np.flatnonzero(same & (self.len[win] > k))
+                same[has] = np.asarray(pc.equal(w.bytes_of(start[has] + k), self.words.take(pa.array(self.begin[win[has]] + k))))
             starts.append(start[same])
             wins.append(win[same])
         return (np.concatenate(starts), np.concatenate(wins)) if starts else (np.zeros(0, np.int64), np.zeros(0, np.int64))
@@ -123,12 +122,12 @@ def _blocks(benchmark: DataFrame, most: int) -> Iterator[list[tuple[int | None,
         yield items
 
 
-def windows(docs: DataFrame, benchmark: DataFrame, most: int = MAX_WORDS) -> list:
-    """The blocks' windows as broadcast variables, their prefix shingles chosen by counts over all documents."""
-    spark, out = docs.sparkSession, []
+def windows(docs: DataFrame, benchmark: DataFrame, most: int = MAX_WORDS) -> Iterator[Windows]:
+    """Each block's windows, their prefix shingles chosen by counts over all documents. An empty benchmark is one empty block."""
+    spark, some = docs.sparkSession, False
     for items in _blocks(benchmark, most):
-        found = Windows(items)
-        b = spark.sparkContext.broadcast(found)
+        some, found = True, Windows(items)
+        b = spark.sparkContext.broadcast(found)  # bounded by `most`
 
         def count(batches: Iterator[pa.RecordBatch], b=b) -> Iterator[pa.RecordBatch]:
             x, n = b.value, np.zeros(len(b.value.known), np.int64)
@@ -142,13 +141,16 @@ def windows(docs: DataFrame, benchmark: DataFrame, most: int = MAX_WORDS) -> lis
                         n += np.bincount(i[x.known[i] == g], minlength=len(n))
             yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(n)), pa.array(n[n > 0])], ["i", "n"])
 
+        total = columns(docs, text="string").mapInArrow(count, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).toArrow()  # a row per shingle of this block
         seen = np.zeros(len(found.known), np.int64)
-        for r in columns(docs, text="string").mapInArrow(count, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).collect():  # a row per shingle of this block
-            seen[r["i"]] = r["n"]
-        b.unpersist()
+        seen[total["i"].to_numpy()] = total["n"].to_numpy()
+        b.destroy()
         found.choose(seen)
-        out.append(spark.sparkContext.broadcast(found))
-    return out
+        yield found
+    if not some:
+        found = Windows([])
+        found.choose(np.zeros(0, np.int64))
+        yield found
 
 
 def _find(x: Windows, t: bt.Texts) -> tuple[bt.Words, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -178,50 +180,16 @@ def _runs(w: bt.Words, hit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndar
     return w.doc[a], a - w.first[w.doc[a]], b - w.first[w.doc[a]]
 
 
-_OUT = "doc_id long, n_words long, n_hit long, items array<long>, spans array<struct<a:long,b:long>>"
+_SPANS = "array<struct<a:bigint,b:bigint>>"
+_OUT = f"doc_id long, key long, n_words long, items array<long>, spans {_SPANS}"
 
 
-def _scan(docs: DataFrame, b) -> DataFrame:
-    """_OUT for one block (None: an empty benchmark)."""
+def _keyed(docs: DataFrame) -> DataFrame:
+    return columns(docs, doc_id="long", text="string").withColumn("key", F.xxhash64("doc_id", "text"))
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        x = b.value if b else Windows([])
-        if not b:
-            x.choose(np.zeros(0, np.int64))
-        for batch in batches:
-            for i, j, t in bt.slices(batch["text"]):
-                if len(x.key):
-                    w, hit, _, doc, item = _find(x, t)
-                else:
-                    w = t.words(bt.ALNUM, True, False)
-                    hit, doc, item = np.zeros(len(w.start), bool), np.zeros(0, np.int64), np.zeros(0, np.int64)
-                rd, a, e = _runs(w, hit)
-                spans = pa.ListArray.from_arrays(pa.array(np.searchsorted(rd, np.arange(t.n + 1)), pa.int32()), pa.StructArray.from_arrays([pa.array(a, pa.int64()), pa.array(e, pa.int64())], ["a", "b"]))
-                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(i, j - i), pa.array(w.count, pa.int64()), pa.array(np.bincount(w.doc[hit], minlength=t.n), pa.int64()), _lists(doc, item, t.n, pa.int64()), spans], ["doc_id", "n_words", "n_hit", "items", "spans"])
-
-    return columns(docs, doc_id="long", text="string").mapInArrow(scan, _OUT)
-
-
-def decontaminate(docs: DataFrame, benchmark: DataFrame, most: int = MAX_WORDS) -> DataFrame:
-    """doc_id, n_words, n_hit, items (ids of items with occurring windows) and spans (runs of hit words) of each document."""
-    blocks = windows(docs, benchmark, most)
-    if len(blocks) < 2:
-        return _scan(docs, blocks[0] if blocks else None)
-    d = columns(docs, doc_id="long", text="string").withColumn("h", F.sha2(F.coalesce("text", F.lit("")), 256))
-    parts = None
-    for b in blocks:
-        p = materialize(_by_hash(d, b), "hits")
-        parts = p if parts is None else parts.unionByName(p)
-    one = parts.groupBy("h").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
-    # at most one row per block and text, so the lists are bounded by the blocks
-    step = "case when size(acc) > 0 and element_at(acc, -1).b >= x.a then concat(slice(acc, 1, size(acc) - 1), array(named_struct('a', element_at(acc, -1).a, 'b', greatest(element_at(acc, -1).b, x.b)))) else concat(acc, array(x)) end"
-    one = one.withColumn("spans", F.expr(f"aggregate(spans, cast(array() as array<struct<a:bigint,b:bigint>>), (acc, x) -> {step})"))
-    none = F.array().cast("array<long>")
-    return _count(d).join(one, "h", "left").select("doc_id", "n_words", F.expr("coalesce(aggregate(spans, 0L, (s, x) -> s + x.b - x.a), 0L)").alias("n_hit"), F.coalesce("items", none).alias("items"), F.coalesce("spans", F.array().cast("array<struct<a:bigint,b:bigint>>")).alias("spans"))
 
-
-def _by_hash(d: DataFrame, b) -> DataFrame:
-    """h, items and spans of each distinct text with hits, for one block."""
+def _scan(keyed: DataFrame, b, every: bool) -> DataFrame:
+    """_OUT for one block: of every row, or of those with hits (n_words is 0 there)."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x = b.value
@@ -230,19 +198,41 @@ def _by_hash(d: DataFrame, b) -> DataFrame:
                 w, hit, _, doc, item = _find(x, t)
                 rd, a, e = _runs(w, hit)
                 spans = pa.ListArray.from_arrays(pa.array(np.searchsorted(rd, np.arange(t.n + 1)), pa.int32()), pa.StructArray.from_arrays([pa.array(a, pa.int64()), pa.array(e, pa.int64())], ["a", "b"]))
-                out = pa.RecordBatch.from_arrays([batch["h"].slice(i, j - i), _lists(doc, item, t.n, pa.int64()), spans], ["h", "items", "spans"])
-                yield out.filter(pa.array(np.bincount(w.doc[hit], minlength=t.n) > 0))
+                out = pa.RecordBatch.from_arrays([batch["doc_id"].slice(i, j - i), batch["key"].slice(i, j - i), pa.array(w.count, pa.int64()), _lists(doc, item, t.n, pa.int64()), spans], ["doc_id", "key", "n_words", "items", "spans"])
+                yield out if every else out.filter(pa.array(np.bincount(w.doc[hit], minlength=t.n) > 0))
 
-    return d.mapInArrow(scan, "h string, items array<long>, spans array<struct<a:long,b:long>>").groupBy("h").agg(F.first("items").alias("items"), F.first("spans").alias("spans"))
+    return keyed.mapInArrow(scan, _OUT)
 
 
-def _count(d: DataFrame) -> DataFrame:
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, j, t in bt.slices(batch["text"]):
-                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(i, j - i), batch["h"].slice(i, j - i), pa.array(t.words(bt.ALNUM, True, False).count, pa.int64())], ["doc_id", "h", "n_words"])
+def _merged(spans: str) -> str:
+    """SQL: sorted spans, those that touch joined."""
+    step = "case when size(acc) > 0 and element_at(acc, -1).b >= x.a then concat(slice(acc, 1, size(acc) - 1), array(named_struct('a', element_at(acc, -1).a, 'b', greatest(element_at(acc, -1).b, x.b)))) else concat(acc, array(x)) end"
+    return f"aggregate(array_sort({spans}), cast(array() as {_SPANS}), (acc, x) -> {step})"
+
 
-    return d.mapInArrow(count, "doc_id long, h string, n_words long")
+def _hits(docs: DataFrame, benchmark: DataFrame, most: int, every: bool) -> tuple[DataFrame, list[DataFrame]]:
+    """_OUT of the first block (every row, or hits), and hits of the others: written tables."""
+    keyed, out = _keyed(docs), []
+    for found in windows(docs, benchmark, most):
+        b = docs.sparkSession.sparkContext.broadcast(found)
+        out.append(materialize(_scan(keyed, b, every and not out), "hits"))
+        b.destroy()
+    return out[0], out[1:]
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, most: int = MAX_WORDS) -> DataFrame:
+    """doc_id, n_words, n_hit, items (ids of items with occurring windows) and spans (runs of hit words) of each document."""
+    first, more = _hits(docs, benchmark, most, True)
+    rows = first.select("doc_id", "key", "n_words", "items", "spans")
+    if more:
+        rest = more[0]
+        for x in more[1:]:
+            rest = rest.unionByName(x)
+        # a list and a list of spans per block and text; equal rows of one text are one
+        rest = rest.dropDuplicates(["doc_id", "key", "items", "spans"]).groupBy(F.col("doc_id").alias("id_"), F.col("key").alias("key_")).agg(F.flatten(F.collect_list("items")).alias("items_"), F.flatten(F.collect_list("spans")).alias("spans_"))
+        rows = rows.join(rest.hint("merge"), F.expr("key = key_ and doc_id <=> id_"), "left")
+        rows = rows.selectExpr("doc_id", "key", "n_words", "array_sort(array_distinct(concat(items, coalesce(items_, array())))) as items", f"{_merged('concat(spans, coalesce(spans_, array()))')} as spans")
+    return rows.selectExpr("doc_id", "n_words", "aggregate(spans, 0L, (s, x) -> s + x.b - x.a) as n_hit", "items", "spans")
 
 
 def op5_decontaminate(spark, sf_dir: str) -> DataFrame:
@@ -251,24 +241,16 @@ def op5_decontaminate(spark, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs, all columns, without contaminated documents; for one block of items nothing is shuffled."""
-    blocks = windows(docs, benchmark)
-    for b in blocks:
-        text = {c.lower(): c for c in docs.columns}["text"]
-
-        def keep(batches: Iterator[pa.RecordBatch], b=b, text=text) -> Iterator[pa.RecordBatch]:
-            x = b.value
-            for batch in batches:
-                ok = np.ones(batch.num_rows, bool)
-                for i, _, t in bt.slices(batch[text]):
-                    w = t.words(bt.ALNUM, True)
-                    start, _ = x.hits(w)
-                    ok[i + w.doc[start]] = False
-                yield batch.filter(pa.array(ok))
-
-        docs = docs.mapInArrow(keep, docs.schema)
-    return docs
+def clean(docs: DataFrame, benchmark: DataFrame, most: int = MAX_WORDS) -> DataFrame:
+    """docs, all columns, without contaminated documents. Only rows that may go are shuffled (common.near)."""
+    first, more = _hits(docs, benchmark, most, False)
+    for x in more:
+        first = first.unionByName(x)
+    bad = materialize(first.select(F.col("doc_id").alias("id of a hit"), F.col("key").alias("key of a hit")).distinct(), "contaminated")
+    name = {c.lower(): f"`{c}`" for c in docs.columns}
+    key, ident = f"xxhash64(try_cast({name['doc_id']} as long), cast({name['text']} as string))", f"try_cast({name['doc_id']} as long)"
+    some, rest = near(docs, F.expr(key), bad.selectExpr("`key of a hit` as key"))
+    return some.join(bad.hint("merge"), F.expr(f"{key} = `key of a hit` and {ident} <=> `id of a hit`"), "left_anti").unionByName(rest)
 
 
 SQL5 = r"""

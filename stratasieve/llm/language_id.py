@@ -3,12 +3,12 @@
 The vocabulary is a public tokenizer's (its path is a parameter): all its lower-cased pieces of letters, of any
 length, with the word-begin mark. For each language the pieces' probabilities are fitted by expectation maximisation over all
 segmentations of the training words; a word's likelihood is the sum over all its segmentations
-(forward algorithm), a text's the product over its words, a word being a maximal run of letters.
+(forward algorithm), a text's the product over its words, a word being a maximal run of letters (Unicode category L).
 The score is the posterior probability of the language given.
 
-Training: documents whose crc32(doc_id as text) mod 3 is not 1 and whose text and lang are not null; at most about
-MAX_DOCS of each language, chosen by a hash of the id (a bounded, documented sample; every document is
-predicted, over its whole text). The word counts of that sample are summed on the executors.
+Training: documents whose crc32(doc_id as text) mod 3 is not 1 and whose text and lang are not null; at most
+MAX_DOCS of each language, those of least hash of id and text (a bounded, documented sample; every document is
+predicted, over its whole text). Rows that repeat language, id and text count once. The word counts of that sample are summed on the executors.
 
 Defined cases: a null text, or one without letters, gives `und` and score 0; so does every text if there is
 nothing to learn from. Characters outside the vocabulary cost the same in every language. Ties go to the
@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bytetext as bt
@@ -44,6 +44,14 @@ CACHE = 300_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
+def words(text: str) -> list[str]:
+    """Maximal runs of letters, in lower case. The pattern's class also has number characters such as a half or a Roman ten; they part words."""
+    found = _WORD.findall(text.lower())
+    if text.isascii() or all(map(str.isalpha, found)):
+        return found
+    return [w for x in found for w in "".join(c if c.isalpha() else " " for c in x).split()]
+
+
 def default_vocabulary() -> str:
     import public_tokenizers
 
@@ -56,7 +64,7 @@ def pieces(path: str) -> list[str]:
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     out = {sp.id_to_piece(i).lower() for i in range(sp.get_piece_size())}
-    return sorted(p for p in out if p == MARK or _WORD.fullmatch(p.removeprefix(MARK)))
+    return sorted(p for p in out if p == MARK or p.removeprefix(MARK).isalpha())
 
 
 class Chars:
@@ -247,7 +255,7 @@ class Scorer:
         return self.table[np.fromiter(map(self.at.__getitem__, unique), np.int64, len(unique))]
 
     def score(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        found = [_WORD.findall(x.lower()) if x else [] for x in texts]
+        found = [words(x) if x else [] for x in texts]
         n = np.array([len(x) for x in found])
         lang, score = ["und"] * len(texts), np.zeros(len(texts))
         if not n.sum() or not self.m.langs:
@@ -266,18 +274,22 @@ class Scorer:
 def fit(docs: DataFrame, vocabulary: str | None = None, most: int = MAX_DOCS) -> Model:
     """Learn from rows of docs with text and lang."""
     d = columns(docs, doc_id="long", text="string", lang="string").where("text is not null and lang is not null")
-    n = {r["lang"]: r["n"] for r in d.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row per language
+    d = d.withColumn("h", F.xxhash64("doc_id", "text"))
+    sizes = d.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("h", 0.02).alias("different")).collect()  # a row per language
+    n = {r["lang"]: r["n"] for r in sizes}
     langs = sorted(n)
     if not langs:
         return Model(pieces(vocabulary or default_vocabulary()), [], [], {})
-    share = F.element_at(F.create_map(*[x for k in langs for x in (F.lit(k), F.lit(min(1.0, most / n[k])))]), F.col("lang"))
-    sample = d.where(F.expr("pmod(xxhash64(doc_id), 1000003) / 1000003") < share)
+    # hashes below a share of some more than `most` rows; of those, exactly the `most` least
+    share = F.element_at(F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(1.0, (1.3 * most + 50) / max(r["different"], 1))))]), F.col("lang"))
+    sample = d.where(F.expr("pmod(h, 1000003) / 1000003") < share).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    sample = sample.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.expr("pmod(h, 1000003)"), "h"))).where(F.col("place") <= most)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lang, text in zip(b["lang"].to_pylist(), b["text"].to_pylist()):
-                words = pd.Series(_WORD.findall(text.lower()), dtype=object).value_counts()
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(words), pa.string()), pa.array(list(words.index), pa.string()), pa.array(words.values, pa.int64())], ["lang", "word", "n"])
+                found = pd.Series(words(text), dtype=object).value_counts()
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(list(found.index), pa.string()), pa.array(found.values, pa.int64())], ["lang", "word", "n"])
 
     counts = sample.select("lang", "text").mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).toPandas()  # of the bounded sample
     return Model(pieces(vocabulary or default_vocabulary()), langs, list(zip(counts["lang"], counts["word"], counts["n"])), n)

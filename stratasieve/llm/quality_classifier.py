@@ -6,12 +6,12 @@ documents, shallow trees are grown on random subsets; every path from a root is
 them. The kept rules become one Spark column expression, 1 / (1 + exp(-(b + sum of weights of the rules that
 hold))), which scores all documents in the JVM.
 
-Fitted on at most about MAX_TRAIN labelled documents (chosen by a hash of the id); all documents are
-scored. Labels come only from rows whose crc32(doc_id as text) mod 5 is not 0.
+Fitted on at most MAX_TRAIN labelled ids, those of least hash; only their texts are measured before the fit, then all documents are
+measured and scored in one pass. Labels come only from rows whose crc32(doc_id as text) mod 5 is not 0.
 
 Defined cases: null and empty texts have all statistics 0 and are scored by the rules. Without labels of
-both classes, every score is the smoothed share of class 1 ((n1 + 1) / (n + 2)). A label that is null is not read; a
-repeated label counts as often as it stands. Repeated documents give a row each, an empty table none; extra columns are not read.
+both classes, every score is the smoothed share of class 1 ((n1 + 1) / (n + 2)). A label that is null is not read; of an id's labels the
+commoner one is learned (ties: 0), and of the texts of one id the one with the least statistics. Repeated documents give a row each, an empty table none; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -163,21 +163,21 @@ class Model:
         return 1 / (1 + np.exp(-z))
 
 
-def fit(measured: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> Model:
-    """Learn quality from the labelled rows that are not held out."""
-    lab = columns(labels, doc_id="long", quality="int").where("quality in (0, 1)").where(crc_mod(F.col("doc_id"), 5) != 0)
-    n = lab.count()
-    if n > most:
-        lab = lab.where(F.expr("pmod(xxhash64(doc_id), 1000003) / 1000003") < most / n)
-    rows = measured.join(lab, "doc_id").select("doc_id", *STATS, F.col("quality").cast("double").alias("y")).toPandas().sort_values(["doc_id", *STATS])  # bounded by `most`
+def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> Model:
+    """Learn quality from the labelled ids that are not held out."""
+    lab = columns(labels, doc_id="long", quality="int").where("doc_id is not null and quality in (0, 1)").where(crc_mod(F.col("doc_id"), 5) != 0)
+    lab = lab.groupBy("doc_id").agg(F.avg("quality").alias("share")).selectExpr("doc_id", "if(share > 0.5, 1D, 0D) as y")
+    lab = materialize(lab.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most), "labels")  # the `most` least of each task, then of all
+    chosen = columns(docs, doc_id="long", text="string").join(F.broadcast(lab.select("doc_id")), "doc_id", "left_semi")  # `most` ids
+    one = measure(chosen).groupBy("doc_id").agg(F.min(F.struct(*STATS)).alias("x"))
+    rows = one.join(F.broadcast(lab), "doc_id").select("doc_id", "x.*", "y").toPandas().sort_values("doc_id")  # bounded by `most`
     return Model(rows[STATS].to_numpy(np.float64), rows["y"].to_numpy(np.float64))
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, the statistics, score and predicted of every row."""
-    measured = materialize(measure(docs), "measured")
-    model = fit(measured, labels)
-    return measured.withColumn("score", model.column()).withColumn("predicted", (F.col("score") >= REJECT).cast("int"))
+    model = fit(docs, labels)
+    return measure(docs).withColumn("score", model.column()).withColumn("predicted", (F.col("score") >= REJECT).cast("int"))
 
 
 @F.arrow_udf(T.StructType([T.StructField(s, T.DoubleType()) for s in STATS]))
@@ -188,8 +188,8 @@ def _statistics(text: pa.Array) -> pa.Array:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs, all columns, without rejected documents. The statistics are taken again in the same pass, so no text is shuffled."""
-    model = fit(materialize(measure(docs), "measured"), labels)
+    """docs, all columns, without rejected documents. No text is shuffled."""
+    model = fit(docs, labels)
     text = {c.lower(): c for c in docs.columns}["text"]
     own = "statistics of the text"
     return docs.withColumn(own, _statistics(F.col(f"`{text}`").cast("string"))).where(model.column(own) >= REJECT).drop(own)

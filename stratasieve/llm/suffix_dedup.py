@@ -262,9 +262,9 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
     release(counts, found)
     name = {c.lower(): c for c in docs.columns}
     text, ident = f"`{name['text']}`", f"`{name['doc_id']}`"
-    hashed = f"xxhash64(cast({ident} as long), cast({text} as string))"
+    hashed = f"xxhash64(try_cast({ident} as long), cast({text} as string))"
     d, rest = near(docs, F.expr(hashed), gone.selectExpr("`cut key` as key"))
-    d = d.join(gone.hint("merge"), F.expr(f"{hashed} = `cut key` and cast({ident} as long) <=> `cut id`"), "left").drop("cut id", "cut key")
+    d = d.join(gone.hint("merge"), F.expr(f"{hashed} = `cut key` and try_cast({ident} as long) <=> `cut id`"), "left").drop("cut id", "cut key")
     schema = docs.schema
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -118,7 +118,13 @@ def brute_cosine(unit, corpus, templates):
     vec = lambda ws: {w: n * idf(w) for w, n in Counter(ws).items()}
     norm = lambda v: math.sqrt(sum(x * x for x in v.values())) or 1e-300
     u = vec(unit)
-    return max(sum(u.get(w, 0) * x for w, x in vec(t).items()) / norm(u) / norm(vec(t)) for t in templates)
+
+    def numbers(t):
+        head = t[:60]
+        at = head.index("version") + 1 if "version" in head else 60
+        return {w for w in head[at : at + 6] if w.isdigit()}
+
+    return max(sum(u.get(w, 0) * x for w, x in vec(t).items()) / norm(u) / norm(vec(t)) if numbers(t) <= set(unit) else 0 for t in templates)
 
 
 def test_license_cosine_against_brute_force(spark, rng):

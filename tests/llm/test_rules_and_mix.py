@@ -85,11 +85,34 @@ def test_mix_on_odd_rows(odd, none):
 
 def test_mix_keeps_other_columns(odd):
     df = odd.selectExpr("*", "1 as target", "2 as whole", "3 as lam", "4 as q")
-    plan = mixing.mix_plan(mixing.sizes(df))
-    out = mixing.copies(df, plan)
+    out = mixing.copies(df)
     assert out.columns == [*[c for c in df.columns if c != "target"], "source_size", "target", "copies"] and out.count() == 9
 
 
+def test_rows_that_share_an_id_are_drawn_alone(docs, rng):
+    """Null ids, one id on many texts, and equal rows: the source still comes near its target."""
+    texts = ["w " * rng.randrange(20, 40) for _ in range(60)]
+    rows = [(None, t, "en", "a") for t in texts] + [(7, t, "en", "b") for t in texts] + [(8, "equal row " * 15, "en", "c")] * 60 + [(9, "big " * 3000, "en", "d")]
+    df = docs(rows)
+    for d in (df, df.repartition(5)):
+        out = mixing.pareto_mix(d).toPandas()
+        for _, g in out.groupby("source"):
+            if g["source"].iloc[0] != "d":
+                assert abs((g["copies"] * g["size"]).sum() - g["target"].iloc[0]) <= g["size"].max()
+        full = mixing.copies(d).toPandas()
+        assert sorted(full["copies"]) == sorted(out["copies"])
+    equal = out[out["source"] == "c"]["copies"]
+    assert equal.max() - equal.min() <= 1
+
+
+def test_longer_documents_are_likelier(docs, rng):
+    rows = [(i, "w " * (4 if i % 2 else 900), "en", "a" if i % 50 else "b") for i in range(600)]
+    out = mixing.pareto_mix(docs(rows)).toPandas()
+    a = out[out["source"] == "a"]
+    few, many = a[a["size"] == 4]["copies"].mean(), a[a["size"] == 900]["copies"].mean()
+    assert 0 < few < 0.9 * many
+
+
 def test_certain_copies_and_empty_sources(docs):
     out = {x["doc_id"]: x for x in mixing.pareto_mix(docs([(1, "a b", "en", "a"), (2, "", "en", "b"), (3, "c " * 100, "en", "c")])).collect()}
     assert out[1]["target"] == 6.0 and out[1]["copies"] == 3 and out[2]["target"] == 0.0
