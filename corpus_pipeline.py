@@ -38,9 +38,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of the mix, each with its number of copies."""
-    sized = materialize(mixing.sizes(docs), "sizes")
-    out = mixing.copies(docs, mixing.mix_plan(sized))
-    return out.where(F.col("copies") > 0)
+    return mixing.copies(docs).where(F.col("copies") > 0)
 
 
 STAGES = [
