@@ -6,10 +6,11 @@ VALUES minima in BANDS bands; two classes at the threshold miss each other in al
 (1 - T^ROWS)^BANDS, 4e-7 for the defaults. Candidates are classes that share a bucket, a band's values.
 
 First each bucket's members are compared with its least member. Then, in buckets whose members still are of several components, those
-outside the bucket's largest one are compared with all others, in blocks of BLOCK members that hold signatures only. Each time signatures are compared batch by batch and a pair
+outside the bucket's largest one are compared with all others, in blocks of BLOCK members that hold signatures only; a pair belongs to the first of its common bands, so it is compared
+once. Each time signatures are compared batch by batch and a pair
 is pruned once the posterior probability of T or more (uniform prior) falls under MISS; survivors are verified word by word on their
 whole texts. A block with more than DENSE survivors for each of its members gives a forest of them, likeliest first; where that leaves its bucket in several
-components, the bucket's members are compared in blocks that hold the texts, and a pair is verified there unless a link found before joins it.
+components, the bucket's members are compared in blocks that hold the texts (TEXT_BLOCK shingles at most, or one text), and a pair is verified there unless a link found before joins it.
 So rows grow with the members of buckets, and a component needs only links that join it; every other candidate pair is
 tested. No list of pairs, links or components is ever on the driver.
 
@@ -39,12 +40,12 @@ BANDS, ROWS = 20, 4
 VALUES = BANDS * ROWS
 BATCH = 16
 MISS = 1e-6
-#: members of a bucket in a block, where signatures are compared and where texts are
-BLOCK, TEXT_BLOCK = 8192, 256
+#: members of a bucket in a block, where signatures are compared; shingles, where texts are
+BLOCK, TEXT_BLOCK = 4096, 200_000
 #: survivors for each member of a block, above which only a forest of them is emitted
 DENSE = 8
 #: pairs whose signatures are compared in one step of a task
-STEP = 1 << 17
+STEP = 1 << 15
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _XOR = _rng.integers(0, 1 << 63, VALUES, dtype=np.uint64)
 _MUL = _rng.integers(0, 1 << 63, VALUES, dtype=np.uint64) | np.uint64(1)
@@ -118,7 +119,7 @@ def _matrix(sig: pa.Array) -> np.ndarray:
 
 
 def _bands(classes: DataFrame) -> DataFrame:
-    """node and the name of each of its buckets."""
+    """node, n (set size), and the band and name of each of its buckets."""
 
     def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -131,10 +132,10 @@ def _bands(classes: DataFrame) -> DataFrame:
                 for r in range(ROWS):
                     x = bt.mix(x * np.uint64(0x9E3779B97F4A7C15) ^ m[:, k * ROWS + r])
                 names[:, k] = x
-            node = np.repeat(np.asarray(b["node"]), BANDS)
-            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(names.reshape(-1).view(np.int64))], ["node", "b"])
+            node, n = (np.repeat(np.asarray(b[c]), BANDS) for c in ("node", "n"))
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(n), pa.array(np.tile(np.arange(BANDS, dtype=np.int32), len(m))), pa.array(names.reshape(-1).view(np.int64))], ["node", "n", "band", "b"])
 
-    return classes.select("node", "sig").mapInArrow(bands, "node long, b long")
+    return classes.select("node", "n", "sig").mapInArrow(bands, "node long, n long, band int, b long")
 
 
 def _survivors(x: np.ndarray, y: np.ndarray, rows: np.ndarray, cols: np.ndarray, need: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
@@ -210,19 +211,28 @@ def _verify(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return p.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
 
 
-def _blocks(members: DataFrame, labels: DataFrame, most: int) -> DataFrame:
-    """Members of buckets that hold several components, dealt into pairs of blocks i <= j: bucket, i, j, node, c (component), out (outside the bucket's largest component) and k, the member's block.
+def _blocks(members: DataFrame, labels: DataFrame, load: str, most: int) -> DataFrame:
+    """Members of buckets that hold several components, dealt into pairs of blocks i <= j: bucket, i, j, node, band, c (component), out (outside the bucket's largest component) and k, the member's block.
 
-    A member stands in as many pairs of blocks as its bucket has blocks of about `most` members.
+    A member stands in as many pairs of blocks as its bucket has blocks of about `most` of load (SQL: 1 for members, n for shingles).
     """
-    m = members.join(labels.selectExpr("node", "component").hint("merge"), "node", "left").selectExpr("b as bucket", "node", "coalesce(component, node) as c")
+    m = members.join(labels.selectExpr("node", "component").hint("merge"), "node", "left").selectExpr("b as bucket", "band", "node", "n", "coalesce(component, node) as c")
     m = materialize(m, "labelled")
-    sizes = m.groupBy("bucket", "c").agg(F.count("*").alias("n"))
-    opened = sizes.groupBy("bucket").agg(F.sum("n").alias("n"), F.count("*").alias("parts"), F.max(F.struct("n", "c")).alias("home")).where("parts > 1")
-    opened = materialize(opened.selectExpr("bucket", f"(n + {most - 1}) div {most} as blocks", "home.c as home"), "open")
-    m = m.join(opened.hint("merge"), "bucket").selectExpr("bucket", "node", "c", "c <> home as out", "blocks", "pmod(xxhash64(node), blocks) as k")
+    sizes = m.groupBy("bucket", "c").agg(F.count("*").alias("rows"), F.expr(f"sum({load})").alias("load"))
+    opened = sizes.groupBy("bucket").agg(F.sum("load").alias("load"), F.count("*").alias("parts"), F.max(F.struct("rows", "c")).alias("home")).where("parts > 1")
+    opened = materialize(opened.selectExpr("bucket", f"(load + {most - 1}) div {most} as blocks", "home.c as home"), "open")
+    m = m.join(opened.hint("merge"), "bucket").selectExpr("bucket", "band", "node", "c", "c <> home as out", "blocks", "pmod(xxhash64(node), blocks) as k")
     m = m.selectExpr("*", "explode(sequence(0L, blocks - 1)) as other")
-    return m.selectExpr("bucket", "least(k, other) as i", "greatest(k, other) as j", "node", "c", "out", "k")
+    return m.selectExpr("bucket", "least(k, other) as i", "greatest(k, other) as j", "node", "band", "c", "out", "k")
+
+
+def _first_band(sig: np.ndarray, x: np.ndarray, y: np.ndarray, band: np.ndarray) -> np.ndarray:
+    """Whether the pairs have no common band before `band`."""
+    ok = np.ones(len(x), bool)
+    for k in range(int(band.max(initial=0))):
+        rows = np.flatnonzero(ok & (band > k))
+        ok[rows] = (sig[x[rows], k * ROWS : (k + 1) * ROWS] != sig[y[rows], k * ROWS : (k + 1) * ROWS]).any(1)
+    return ok
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
@@ -305,7 +315,7 @@ def _across(blocks: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, at in _groups(batches):
-            i, j, k, node, c, n, out = (np.asarray(t[x].combine_chunks()) for x in ("i", "j", "k", "node", "c", "n", "out"))
+            i, j, k, node, band, c, n, out = (np.asarray(t[x].combine_chunks()) for x in ("i", "j", "k", "node", "band", "c", "n", "out"))
             sig = _matrix(t["sig"].combine_chunks())
             group = np.repeat(np.arange(len(at) - 1), np.diff(at))
             first = np.bincount(group[k == i], minlength=len(at) - 1)  # rows of the first block of each group, which stand first
@@ -326,6 +336,8 @@ def _across(blocks: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
                 x, y = x[ok], y[ok]
                 alive, m = _survivors(sig, sig, x, y, need)
                 x, y = x[alive], y[alive]
+                own = _first_band(sig, x, y, band[x])
+                x, y, m = x[own], y[own], m[own]
                 cut = np.flatnonzero(np.diff(group[x])) + 1
                 for rx, ry, rm in zip(np.split(x, cut), np.split(y, cut), np.split(m, cut)):
                     if len(rx):
@@ -344,7 +356,7 @@ def _across(blocks: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
             of_bucket = np.arange(pairs + dense) >= pairs
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((node[x], none(dense))), mask=of_bucket), pa.array(np.concatenate((node[y], none(dense))), mask=of_bucket), pa.array(np.concatenate((none(pairs), bucket)), mask=~of_bucket)], ["a", "b", "bucket"])
 
-    return rows.select(*_PAIRED, "node", "c", "out", "n", "sig").mapInArrow(compare, "a long, b long, bucket long")
+    return rows.select(*_PAIRED, "node", "band", "c", "out", "n", "sig").mapInArrow(compare, "a long, b long, bucket long")
 
 
 def _within(blocks: DataFrame, classes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -357,7 +369,7 @@ def _within(blocks: DataFrame, classes: DataFrame, texts: DataFrame, percent: in
             a, b = [], []
             for u, v in zip(at[:-1], at[1:]):
                 g = t.slice(u, v - u).combine_chunks()
-                i, j, k, node, c, n, out = (np.asarray(g[x].combine_chunks()) for x in ("i", "j", "k", "node", "c", "n", "out"))
+                i, j, k, node, band, c, n, out = (np.asarray(g[x].combine_chunks()) for x in ("i", "j", "k", "node", "band", "c", "n", "out"))
                 sig = _matrix(g["sig"].combine_chunks())
                 doc, code = exact_sets(g["text"].combine_chunks())
                 first = np.searchsorted(doc, np.arange(len(node) + 1))
@@ -366,6 +378,8 @@ def _within(blocks: DataFrame, classes: DataFrame, texts: DataFrame, percent: in
                 for x in np.flatnonzero(out):
                     y = np.flatnonzero(((k != k[x]) | (i == j)) & (c != c[x]) & (~out | (node[x] < node)) & (100 * np.minimum(n, n[x]) >= percent * np.maximum(n, n[x])))
                     alive, m = _survivors(sig, sig, np.full(len(y), x), y, need)
+                    own = _first_band(sig, np.full(len(alive), x), y[alive], band[y[alive]])
+                    alive, m = alive[own], m[own]
                     for z in y[alive][np.lexsort((node[y[alive]], -m))]:
                         if forest.find(int(c[x])) != forest.find(int(c[z])):
                             same = len(np.intersect1d(sets[x], sets[z], assume_unique=True))
@@ -375,7 +389,7 @@ def _within(blocks: DataFrame, classes: DataFrame, texts: DataFrame, percent: in
                                 b.append(node[z])
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return rows.select(*_PAIRED, "node", "c", "out", "n", "sig", "text").mapInArrow(links, "a long, b long")
+    return rows.select(*_PAIRED, "node", "band", "c", "out", "n", "sig", "text").mapInArrow(links, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
@@ -387,7 +401,7 @@ def _components(docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """node and component of the classes that have a link."""
     bands = _bands(classes)
     buckets = materialize(bands.groupBy("b").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("b", "least"), "buckets")
-    members = materialize(bands.join(buckets.hint("merge"), "b"), "members")
+    members = materialize(bands.join(buckets.hint("merge"), "b"), "members")  # b, node, n, band, least
     nodes = materialize(members.select("node").distinct(), "nodes")
     texts = materialize(_texts(docs, nodes), "texts")
     # the members of each bucket with its least member
@@ -395,7 +409,7 @@ def _components(docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     edges = materialize(_verify(materialize(_prune(pairs, classes, percent), "likely"), texts, percent), "links")
     labels = materialize(components(edges), "labels")
     # what that has not joined
-    more = materialize(_across(_blocks(members, labels, BLOCK), classes, percent), "across")
+    more = materialize(_across(_blocks(members, labels, "1", BLOCK), classes, percent), "across")
     pairs = more.where("bucket is null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     found = materialize(_verify(pairs, texts, percent), "links")
     if not found.isEmpty():
@@ -403,7 +417,7 @@ def _components(docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
         labels = materialize(components(edges), "labels")
     dense = more.where("bucket is not null").select(F.col("bucket").alias("b")).distinct()
     if not dense.isEmpty():
-        found = materialize(_within(_blocks(members.join(dense.hint("merge"), "b", "left_semi"), labels, TEXT_BLOCK), classes, texts, percent), "links")
+        found = materialize(_within(_blocks(members.join(dense.hint("merge"), "b", "left_semi"), labels, "n", TEXT_BLOCK), classes, texts, percent), "links")
         if not found.isEmpty():
             labels = materialize(components(edges.unionByName(found)), "labels")
     release(buckets, members, nodes, texts, more, edges)

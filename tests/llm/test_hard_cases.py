@@ -115,7 +115,7 @@ def test_one_plan_at_every_size(docs, monkeypatch):
 @pytest.mark.parametrize("dense", [0])
 def test_dense_buckets_and_small_blocks(docs, monkeypatch, dense):
     monkeypatch.setattr(nd, "BLOCK", 8)
-    monkeypatch.setattr(nd, "TEXT_BLOCK", 6)
+    monkeypatch.setattr(nd, "TEXT_BLOCK", 900)
     monkeypatch.setattr(nd, "DENSE", dense)
     rng = random.Random(dense)
     base = [f"v{k}" for k in range(150)]
