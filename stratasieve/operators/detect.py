@@ -1,7 +1,8 @@
 """Detection: content rows to matches.
 
-A JVM-side gate keeps rows that some rule could match; those go in Arrow batches through one function that runs
-the rule table over bytes and settles which matches of a content stay; the result is exploded. Nothing is shuffled.
+A JVM-side gate keeps rows that some of the chosen rules could match; those go in Arrow batches through one function that runs
+the rule table over bytes and settles which matches of a content stay. Line, snippets and line number are columns over the list of matches, which then is
+exploded without the content. Nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import scalar
 from ..functions import secrets as s
 from . import rules as r
 
@@ -162,25 +164,25 @@ def by_git_file(found: list[Line]) -> list[Match]:
     return out
 
 
-@lru_cache(maxsize=1)
-def _library() -> list[tuple[r.Part, tuple[bytes, ...], re.Pattern, re.Pattern | None]]:
+@lru_cache(maxsize=None)
+def _library(parts: tuple[r.Part, ...]) -> list[tuple[r.Part, tuple[bytes, ...], re.Pattern, re.Pattern | None]]:
     one, seen = [], set()
-    for p in r.LIBRARY_PARTS:
+    for p in parts:
         if (p.kind, p.version) not in seen:
             seen.add((p.kind, p.version))
             one.append((p, tuple(k.lower().encode() for k in p.keywords), re.compile(p.raw.encode()), re.compile(p.second.encode()) if p.second else None))
     return one
 
 
-@lru_cache(maxsize=1)
-def _automaton():
+@lru_cache(maxsize=None)
+def _automaton(parts: tuple[r.Part, ...]):
     """Aho-Corasick automaton over the library's keywords, or None without the optional module."""
     try:
         import ahocorasick
     except ImportError:
         return None
     out = ahocorasick.Automaton()
-    for p, keys, _, _ in _library():
+    for _, keys, _, _ in _library(parts):
         for k in keys:
             out.add_word(k.decode(), k.decode())
     out.make_automaton()
@@ -216,12 +218,12 @@ def search_values(raw: bytes, both: bytes) -> list[bytes]:
     return list(dict.fromkeys(v for v in values if v))
 
 
-def by_library(content: bytes, low: bytes, path: str, key: str) -> list[Match]:
+def by_library(content: bytes, low: bytes, path: str, key: str, parts: tuple[r.Part, ...] = r.LIBRARY_PARTS) -> list[Match]:
     """Detectors whose keyword occurs; a failing one gives no rows."""
-    auto = _automaton()
+    auto = _automaton(parts)
     words = {k for _, k in auto.iter(low.decode("latin-1"))} if auto is not None else None
     places, out = Places(content), []
-    for part, keys, raw, second in _library():
+    for part, keys, raw, second in _library(parts):
         if keys and not any((k.decode() in words) if words is not None else (k in low) for k in keys):
             continue
         try:
@@ -247,12 +249,12 @@ def settle(found: list[Match]) -> list[Match]:
     return list({(m.value, m.start, m.end): m for m in reversed(keep)}.values())[::-1]
 
 
-def scan(content: bytes, path: str = "", key: str = "", only: frozenset[str] = ALL) -> list[Match]:
+def scan(content: bytes, path: str = "", key: str = "", only: frozenset[str] = ALL, rules: tuple[r.Rule, ...] = r.RULES, parts: tuple[r.Part, ...] = r.LIBRARY_PARTS) -> list[Match]:
     """All matches of one content."""
     low, found = content.lower(), None
     out: list[Match] = []
     place = path.strip().lower()
-    for rule in r.RULES:
+    for rule in rules:
         if rule.name in only:
             if rule.key is None:
                 out += by_pattern(rule, content, low, path, key)
@@ -264,47 +266,66 @@ def scan(content: bytes, path: str = "", key: str = "", only: frozenset[str] = A
     if "git_credentials_password" in only and re.search(r.GIT_FILE, place):
         out += by_git_file(lines(content))
     if "keyword_library" in only:
-        out += by_library(content, low, path, key)
+        out += by_library(content, low, path, key, parts)
     if "keyword_entropy" in only and len(content) >= s.MIN_ENTROPY_BYTES:
         out += by_entropy(lines(content) if found is None else found, path, key)
     return settle(out)
 
 
-def gate(content: Column, path: Column, key: Column) -> Column:
-    """Whether any rule could match: evaluated before the Python function, in the JVM."""
-    words = s.KEYWORDS.decode()
-    hints = "|".join(re.escape(h) for rule in r.RULES for h in rule.hint.split("|") if h)
-    library = "|".join(re.escape(k) for p in r.LIBRARY_PARTS for k in p.keywords)
-    paths = "|".join(x.replace(r"\Z", "$") for x in dict.fromkeys([*(x.path for x in r.RULES if x.path), r.AWS_FILE, r.GIT_FILE]))
-    k = F.lower(F.trim(key))
-    keys = F.lit(False)
-    for word in s.SENSITIVE_IN_KEY + ("client", "secret"):
-        keys = keys | k.contains(word)
-    return content.cast("string").rlike(f"(?i){words}|{hints}|{library}") | keys | F.lower(F.trim(path)).rlike(paths)
+def gate(content: Column, path: Column, key: Column, only: frozenset[str] = ALL, rules: tuple[r.Rule, ...] = r.RULES, parts: tuple[r.Part, ...] = r.LIBRARY_PARTS) -> Column:
+    """Whether any of the chosen rules could match: evaluated before the Python function, in the JVM."""
+    chosen = [x for x in rules if x.name in only]
+    if any(not x.hint and not x.path and not x.key for x in chosen) or ("keyword_library" in only and any(not p.keywords for p in parts)):
+        return F.lit(True)
+    words = [re.escape(h) for x in chosen if not x.path for h in x.hint.split("|") if h]
+    words += [re.escape(k) for p in parts for k in p.keywords] if "keyword_library" in only else []
+    words += [s.KEYWORDS.decode()] if "keyword_entropy" in only else []
+    paths = [x.path for x in chosen if x.path] + [p for p, name in ((r.AWS_FILE, "aws_shared_credentials"), (r.GIT_FILE, "git_credentials_password")) if name in only]
+    out = content.cast("string").rlike("(?i)" + "|".join(dict.fromkeys(words))) if words else F.lit(False)
+    if paths:
+        out = out | F.lower(F.trim(path)).rlike("|".join(x.replace(r"\Z", "$") for x in dict.fromkeys(paths)))
+    if "keyword_entropy" in only or any(x.key for x in chosen):
+        k = F.lower(F.trim(key))
+        for word in s.SENSITIVE_IN_KEY + ("client", "secret"):
+            out = out | k.contains(word)
+        for x in chosen:
+            if x.key:
+                out = out | k.rlike(x.key)
+    return out
 
 
-def _udf(only: frozenset[str]):
+def _udf(only: frozenset[str], rules: tuple[r.Rule, ...], parts: tuple[r.Part, ...]):
     kind = pa.list_(pa.struct([("detector_name", pa.string()), ("value", pa.binary()), ("match_start", pa.int64()), ("match_end", pa.int64()), ("confidence", pa.string()), ("priority", pa.int32())]))
 
     @F.arrow_udf(T.ArrayType(MATCH, False))
     def run(content: pa.Array, path: pa.Array, key: pa.Array) -> pa.Array:
         rows = []
         for c, p, k in zip(content.to_pylist(), path.to_pylist(), key.to_pylist()):
-            rows.append([{"detector_name": m.detector, "value": m.value, "match_start": m.start, "match_end": m.end, "confidence": m.confidence, "priority": m.priority} for m in scan(c or b"", p or "", k or "", only)])
+            rows.append([{"detector_name": m.detector, "value": m.value, "match_start": m.start, "match_end": m.end, "confidence": m.confidence, "priority": m.priority} for m in scan(c or b"", p or "", k or "", only, rules, parts)])
         return pa.array(rows, kind)
 
     return run
 
 
-def detect(content_rows: DataFrame, only=ALL) -> DataFrame:
-    """content_rows (content binary or string, file_path, key and others) with a row per match.
+def detect(content_rows: DataFrame, only=None, more: tuple[r.Rule, ...] = (), library: tuple[r.Part, ...] = ()) -> DataFrame:
+    """content_rows (content binary or string, file_path, key and others) with a row per match, and instead of the content the match's line, snippets and line number.
 
-    only: rule names to run. A null content, path or key is as empty.
+    only: names of rules to run (None: all). more, library: a user's own rules and keyword detectors, run beside the built-in ones. A null content, path or key is as empty.
     """
+    rules, parts = r.RULES + tuple(more), r.LIBRARY_PARTS + tuple(library)
+    chosen = frozenset(ALL | {x.name for x in more} if only is None else only)
     names = {c: F.coalesce(F.col(c), F.lit("")) for c in ("file_path", "key")}
     rows = content_rows.withColumns(names).withColumn("content", F.col("content").cast("binary"))
-    rows = rows.where(gate(F.col("content"), F.col("file_path"), F.col("key")))
-    return rows.withColumn("m", F.explode(_udf(frozenset(only))(F.col("content"), F.col("file_path"), F.col("key")))).select("*", "m.*").drop("m")
+    rows = rows.where(gate(F.col("content"), F.col("file_path"), F.col("key"), chosen, rules, parts))
+    rows = rows.withColumn("found", _udf(chosen, rules, parts)(F.col("content"), F.col("file_path"), F.col("key"))).where("size(found) > 0")
+
+    def placed(m: Column) -> Column:
+        text, c, a, b = m["value"].cast("string"), F.col("content"), m["match_start"], m["match_end"]
+        own = [m[f.name].alias(f.name) for f in MATCH]
+        return F.struct(*own, scalar.match_line(c, a, b).alias("line"), scalar.snippet(c, scalar.redact(text), a, b).alias("context_snippet"), scalar.snippet(c, text, a, b).alias("raw_snippet"), scalar.line_number(c, a).alias("line_number"))
+
+    rows = rows.withColumn("found", F.transform("found", placed)).drop("content")
+    return rows.withColumn("m", F.explode("found")).select(*[c for c in rows.columns if c != "found"], "m.*")
 
 
 def entropy_candidates(content_rows: DataFrame) -> DataFrame:

@@ -16,20 +16,15 @@ DETAIL_ORDER = [*ORDER, "match_start", "match_end", "source_location"]
 
 
 def normalise(matches: DataFrame) -> DataFrame:
-    """Findings with their raw fields (DETAIL) from matches that still carry their content. The content goes no further."""
+    """Findings with their raw fields (DETAIL) from matches as `detect` gives them."""
     text = F.col("value").cast("string")
-    start, end = F.col("match_start"), F.col("match_end")
-    redacted = scalar.redact(text)
     m = matches.withColumns({c: F.coalesce(F.col(c), F.lit("")) if c in matches.columns else F.lit("") for c in ("manifest_digest", "platform", "file_path", "layer_digest", "key")})
-    reason = policy.example_reason(F.col("file_path"), F.col("key"), scalar.match_line(F.col("content"), start, end), text)
+    reason = policy.example_reason(F.col("file_path"), F.col("key"), F.col("line"), text)
     m = m.withColumns(
         {
             "disposition_reason": reason,
-            "redacted_value": redacted,
+            "redacted_value": scalar.redact(text),
             "fingerprint": scalar.fingerprint(F.col("value")),
-            "context_snippet": scalar.snippet(F.col("content"), redacted, start, end),
-            "raw_snippet": scalar.snippet(F.col("content"), text, start, end),
-            "line_number": scalar.line_number(F.col("content"), start),
             "source_location": scalar.source_location(F.col("source_type"), F.col("file_path"), F.col("key")),
             "present_in_final_image": F.coalesce(F.col("present_in_final_image"), F.lit(False)) if "present_in_final_image" in matches.columns else F.lit(False),
         }
@@ -85,15 +80,20 @@ def cap_low_confidence(findings: DataFrame, order: list[str] | None = None, cap:
     """Of low-confidence findings in files, the first `cap` of each group; its first row carries the group's size (occurrence_count) and what was left out (suppressed_occurrence_count)."""
     limited = (F.col("confidence") == "low") & (F.col("file_path") != "")
     order = order or [c for c in DETAIL_ORDER if c in findings.columns]
-    by = W.partitionBy(*CAP_KEY)
-    low = findings.where(limited).withColumn("rank in group", F.row_number().over(by.orderBy(*order))).withColumn("size of group", F.count("*").over(by)).where(F.col("rank in group") <= cap)
+    low = findings.where(limited)
+    # the row number alone: each task keeps `cap` rows of a group before the shuffle; sizes are counts
+    low_first = low.withColumn("rank in group", F.row_number().over(W.partitionBy(*CAP_KEY).orderBy(*order))).where(F.col("rank in group") <= cap)
+    sizes = low.groupBy(*[F.col(c).alias(f"group {c}") for c in CAP_KEY]).agg(F.count("*").alias("size of group"))
     first = F.col("rank in group") == 1
-    low = low.withColumn("occurrence_count", F.when(first, F.col("size of group")).otherwise(0)).withColumn("suppressed_occurrence_count", F.when(first, F.greatest(F.col("size of group") - cap, F.lit(0))).otherwise(0)).drop("rank in group", "size of group")
+    same = [F.col(c).eqNullSafe(F.col(f"`group {c}`")) for c in CAP_KEY]
+    low = low_first.join(sizes, same)
+    low = low.withColumn("occurrence_count", F.when(first, F.col("size of group")).otherwise(0)).withColumn("suppressed_occurrence_count", F.when(first, F.greatest(F.col("size of group") - cap, F.lit(0))).otherwise(0)).select(*findings.columns, "occurrence_count", "suppressed_occurrence_count")
     zero = F.lit(0).cast("long")
     return findings.where(~limited).withColumns({"occurrence_count": zero, "suppressed_occurrence_count": zero}).unionByName(low)
 
 
-def first_messages(message: Column, order: Column, n: int = 3) -> Column:
-    """Aggregate: the first n distinct messages, joined."""
-    listed = F.transform(F.array_sort(F.collect_list(F.when(~scalar.blank(message), F.struct(order.alias("o"), message.alias("m"))))), lambda x: x["m"])
-    return F.array_join(F.slice(F.array_distinct(listed), 1, n), "; ")
+def first_messages(rows: DataFrame, keys: list[str], message: Column, order: Column, n: int = 3) -> DataFrame:
+    """keys and messages: the first n distinct messages of each key, joined. A message is first aggregated to its least order, so that no list is longer than n."""
+    one = rows.where(~scalar.blank(message)).groupBy(*keys, message.alias("message")).agg(F.min(order).alias("o"))
+    top = one.withColumn("k", F.row_number().over(W.partitionBy(*keys).orderBy("o", "message"))).where(F.col("k") <= n)
+    return top.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "message"))), lambda x: x["message"]), "; ").alias("messages"))

@@ -68,8 +68,8 @@ def platform_matches(os: Column, architecture: Column, variant: Column, selector
 
 
 def select_descriptors(documents: DataFrame, selector: tuple[str, str, str] | None = None) -> DataFrame:
-    """A row per image manifest of each index (doc as parse_documents gives it), without attestations, for the selected platform."""
-    d = documents.where("kind = 'index'").withColumn("d", F.explode("doc.manifests"))
+    """A row per image manifest of each index (doc as parse_documents gives it), without attestations, for the selected platform: d and its position."""
+    d = documents.where("kind = 'index'").select("*", F.posexplode("doc.manifests").alias("position", "d"))
     d = d.where(is_manifest(media_type(F.col("d.mediaType"))) & ~attestation(F.col("d")))
     if selector:
         p = F.col("d.platform")

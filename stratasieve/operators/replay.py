@@ -1,13 +1,17 @@
 """Layer replay: which entries of an image are final and which a later layer deleted.
 
 A path's live entry ends at the next event on the path (a put, or a whiteout of the path) or at the next opaque whiteout
-of a directory above it. Without hardlinks that is relational: `lead` over (manifest, path) and an equi-join of the
-ancestors of each put with opaque directories; no group is gathered. A hardlink copies what is live at its target at that
-moment; hardlinks are resolved in rounds, each an as-of join of the links whose targets are known.
+of a directory above it. Without hardlinks that is relational: `lead` over (manifest, path), and an equi-join of the
+ancestors of each put with one row per opaque directory, the sorted times at which it was swept. A hardlink copies what is live at its target at that
+moment, a symlink there as an empty file; without a live target it is no event. What a link needs, the events at targets of links, is folded in tar order, one manifest after the
+other: chains of any length take one pass. A manifest's entries are bounded by the limits on layers.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -40,39 +44,49 @@ def lifetimes(ev: DataFrame) -> DataFrame:
     on_path = W.partitionBy("manifest_digest", "path").orderBy("seq")
     puts = ev.where("op <> 'opaque'").withColumn("next", F.lead("seq").over(on_path)).where("op = 'put'")
     above = F.expr("concat(array(''), transform(sequence(1, size(split(path, '/'))), n -> array_join(slice(split(path, '/'), 1, n - 1), '/')))")
-    opaque = ev.where("op = 'opaque'").select(F.col("manifest_digest").alias("m"), F.col("path").alias("dir"), F.col("seq").alias("at"))
-    hit = puts.select("manifest_digest", "path", "seq", F.explode(F.array_distinct(above)).alias("dir_")).join(opaque, F.expr("manifest_digest = m and dir_ = dir and at > seq"))
+    opaque = ev.where("op = 'opaque'").groupBy(F.col("manifest_digest").alias("m"), F.col("path").alias("dir")).agg(F.array_sort(F.collect_set("seq")).alias("times"))
+    hit = puts.select("manifest_digest", "path", "seq", F.explode(F.array_distinct(above)).alias("dir_")).join(opaque, F.expr("manifest_digest = m and dir_ = dir"))
+    hit = hit.withColumn("at", F.expr("get(filter(times, x -> x > seq), 0)")).where("at is not null")
     swept = hit.groupBy("manifest_digest", "path", "seq").agg(F.min("at").alias("swept"))
     out = puts.join(swept, ["manifest_digest", "path", "seq"], "left").withColumn("until", F.least("next", "swept"))
     layers = ev.select(F.col("manifest_digest").alias("m"), F.col("layer_idx").alias("li"), F.col("layer_digest").alias("deleted_by")).distinct()
     return out.join(layers, F.expr("manifest_digest = m and until is not null and shiftright(until, 32) = li"), "left").drop("next", "swept", "m", "li")
 
 
-def resolve_hardlinks(ev: DataFrame, rounds: int = 64) -> DataFrame:
-    """Events whose hardlinks carry src_layer and src_entry, the entry whose content they have; links without a live target are gone.
-
-    A link depends on earlier events only, so each round settles the links whose earlier events on the target are settled. Rounds
-    follow the longest chain of links; more than `rounds` is an error.
-    """
-    settled = ev.where("kind <> 'hardlink' or op <> 'put'").withColumns({"src_layer": F.col("layer_digest"), "src_entry": F.col("entry_idx")})
-    open_ = ev.where("kind = 'hardlink' and op = 'put'")
-    for _ in range(rounds):
-        if open_.isEmpty():
-            return settled
-        # a link can be settled once no open link stands earlier at its target
-        others = open_.select(F.col("manifest_digest").alias("m"), F.col("path").alias("p"), F.col("seq").alias("other"))
-        blocked = open_.join(others, F.expr("manifest_digest = m and linkname = p and other < seq"), "left_semi")
-        free = open_.join(blocked.select("manifest_digest", "seq"), ["manifest_digest", "seq"], "left_anti")
-        life = lifetimes(settled).where("kind <> 'symlink'").select(F.col("manifest_digest").alias("m"), F.col("path").alias("p"), F.col("seq").alias("born"), "until", "src_layer", "src_entry")
-        done = free.join(life, F.expr("manifest_digest = m and linkname = p and born < seq and (until is null or until > seq)")).drop("m", "p", "born", "until")
-        settled = _cut(settled.unionByName(done))
-        open_ = _cut(open_.join(free.select("manifest_digest", "seq"), ["manifest_digest", "seq"], "left_anti"))
-    raise ValueError(f"hardlinks are chained more than {rounds} times")
-
-
-def _cut(df: DataFrame) -> DataFrame:
-    """End the lineage: a reliable checkpoint where a folder is set (a cluster), else the plan as it is."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df
+def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links with a live target, from the events of whole manifests in order."""
+    now, live = None, {}
+    for b in batches:
+        got: list[tuple] = []
+        for m, seq, path, op, kind, link, layer, entry in zip(*(b[c].to_pylist() for c in ("manifest_digest", "seq", "path", "op", "kind", "linkname", "layer_digest", "entry_idx"))):
+            if m != now:
+                now, live = m, {}
+            if op == "opaque":
+                live = {p: x for p, x in live.items() if path and not p.startswith(path + "/")}
+            elif op == "whiteout":
+                live.pop(path, None)
+            elif kind != "hardlink":
+                live[path] = (layer, entry)
+            elif link in live:
+                live[path] = live[link]
+                got.append((m, seq, *live[path]))
+        cols = list(zip(*got)) or [()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.string(), pa.int32()))], ["m", "s", "src_layer", "src_entry"])
+
+
+def resolve_hardlinks(ev: DataFrame) -> DataFrame:
+    """Events whose hardlinks carry src_layer and src_entry, the entry whose content they have; links without a live target are gone."""
+    link = F.col("op").eqNullSafe("put") & (F.col("kind") == "hardlink")
+    links = ev.where(link)
+    targets = links.select(F.col("manifest_digest").alias("m"), F.col("linkname").alias("p")).distinct()
+    with_links = targets.select("m").distinct()
+    at_targets = ev.where(~link & (F.col("op") != "opaque")).join(targets, F.expr("manifest_digest = m and path = p"), "left_semi")
+    sweeps = ev.where("op = 'opaque'").join(with_links, F.expr("manifest_digest = m"), "left_semi")
+    cols = ["manifest_digest", "seq", "path", "op", "kind", "linkname", "layer_digest", F.col("entry_idx").cast("int").alias("entry_idx")]
+    part = links.select(*cols).unionByName(at_targets.select(*cols)).unionByName(sweeps.select(*cols))
+    found = part.repartition("manifest_digest").sortWithinPartitions("manifest_digest", "seq").mapInArrow(_fold, "m string, s long, src_layer string, src_entry int")
+    plain = ev.where(~link).withColumns({"src_layer": F.col("layer_digest"), "src_entry": F.col("entry_idx")})
+    return plain.unionByName(links.join(found, F.expr("manifest_digest = m and seq = s")).drop("m", "s"))
 
 
 def replay(manifest_layers: DataFrame, layer_entries: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ last_seen_at is the last writer's.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema
@@ -133,6 +133,27 @@ def invalid(table: str, rows: DataFrame) -> DataFrame:
     return rows.where(bad)
 
 
+STATUSES, RUN_STATUSES = ("scanned", "failed"), ("completed", "partial", "failed")
+
+
+def invalid_records(spark: SparkSession, registry: str, repository: str, manifests: DataFrame, tags: DataFrame, findings: DataFrame, run: DataFrame | None) -> list[tuple[str, DataFrame]]:
+    """What a save must not hold: a name, and the rows at fault."""
+    one = spark.range(1)
+    status = lambda c, allowed: ~F.coalesce(F.trim(c).isin(*allowed), F.lit(False))
+    out = [
+        ("registry and repository are required", one.where(F.lit(not registry.strip() or not repository.strip()))),
+        ("a manifest needs a digest", manifests.where(scalar.blank(F.col("digest")))),
+        ("a manifest is scanned or failed", manifests.where(status(F.col("status"), STATUSES))),
+        ("a tag needs a name", tags.where(scalar.blank(F.col("tag")))),
+        ("a tag is scanned or failed", tags.where(status(F.col("status"), STATUSES))),
+        ("a finding needs a manifest digest", findings.where(scalar.blank(F.col("manifest_digest")))),
+        ("a finding needs a fingerprint", findings.where(scalar.blank(F.col("fingerprint")))),
+    ]
+    if run is not None:
+        out += [("a run is completed, partial or failed", run.where(status(F.col("status"), RUN_STATUSES))), ("a run's result is JSON", run.where(F.try_parse_json("result_json").isNull())), ("a run has a time", run.where(F.col("scanned_at").isNull()))]
+    return out
+
+
 def delete_cascade(tables: dict[str, DataFrame], repository_ids: DataFrame) -> dict[str, DataFrame]:
     """Without some repositories and what hangs on them."""
     ids = repository_ids.select(F.col("id").alias("repository_id")).distinct()

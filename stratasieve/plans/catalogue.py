@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import tempfile
+import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -17,9 +19,11 @@ from ..operators import findings as fnd
 from ..operators import metadata as meta
 from ..operators import replay as rep
 from ..operators import rules, state
-from ..sources import layers
+from ..sources import layers, store
 from . import inputs as i
+from . import jobs
 from . import read_api as api
+from . import scan
 from .inputs import DUCK
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,6 +42,14 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def scratch(spark: SparkSession) -> str:
+    """The shared folder of spark.checkpoint.dir; a local session may have one of its own."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return found.rstrip("/") if found else "file://" + tempfile.mkdtemp(prefix="stratasieve-")
+
+
 def _quote(x: str) -> str:
     return "'" + x.replace("'", "''") + "'"
 
@@ -367,7 +379,7 @@ def cap_low_confidence(spark: SparkSession, d: str) -> DataFrame:
 
 @query("error_summaries", "with e as (select distinct o_custkey as id, o_orderpriority as m, min(o_orderkey) over (partition by o_custkey, o_orderpriority) as k from orders) select id, array_to_string(list(m order by k)[1:3], '; ') as messages from e group by id")
 def error_summaries(spark: SparkSession, d: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/orders.parquet").groupBy(F.col("o_custkey").alias("id")).agg(fnd.first_messages(F.col("o_orderpriority"), F.col("o_orderkey")).alias("messages"))
+    return fnd.first_messages(spark.read.parquet(f"{d}/orders.parquet").withColumnRenamed("o_custkey", "id"), ["id"], F.col("o_orderpriority"), F.col("o_orderkey"))
 
 
 # --- metadata ----------------------------------------------------------------------------------------------------------------
@@ -471,9 +483,21 @@ def replay_deleted(spark: SparkSession, d: str) -> DataFrame:
     return _replay(spark, d).where("state = 'deleted'").select("manifest_digest", "path", "kind", "layer_digest", "entry_idx", "deleted_by")
 
 
-@query("replay_hardlinks")
+# a link at the target itself doesn't change whether the target is live, so its source is the last plain put since the last delete
+_TARGET = "manifest_digest order by seq rows between unbounded preceding and 1 preceding"
+_LINKS = f"""
+with e0 as (select *, layer_idx * 1000000 + entry_idx as seq, dir || '/' || name as path, 'l' || img || '-' || layer_idx as layer, op = 'put' and entry_idx % 5 = 0 as link from ({i.replay_rows(DUCK)})),
+e1 as (select *, max(case when op = 'put' and not link and path = 'app/d1/f1' then seq end) over (partition by {_TARGET}) as src, max(case when op = 'opaque' and dir = 'app/d1' or op = 'whiteout' and path = 'app/d1/f1' then seq end) over (partition by {_TARGET}) as cut from e0),
+e as (select * replace (case when link then 'hardlink' else kind end as kind) from e1 where not link or (src is not null and (cut is null or cut < src))),
+n as (select *, lead(seq) over (partition by manifest_digest, path order by seq) as nxt from e where op <> 'opaque'),
+o as (select n.manifest_digest, n.seq, min(x.seq) as swept from n join e x on x.op = 'opaque' and x.manifest_digest = n.manifest_digest and x.dir = n.dir and x.seq > n.seq where n.op = 'put' group by 1, 2),
+u as (select n.*, least(n.nxt, o.swept) as until from n left join o on o.manifest_digest = n.manifest_digest and o.seq = n.seq where n.op = 'put')
+select manifest_digest, path, kind, layer as layer_digest, entry_idx, case when link then 'l' || img || '-' || (src // 1000000) else layer end as src_layer, case when link then (src % 1000000)::int else entry_idx end as src_entry,
+  case when until is null then 'final' else 'deleted' end as state, case when until is null then '' else 'l' || img || '-' || (until // 1000000) end as deleted_by from u where kind <> 'symlink'"""
+
+
+@query("replay_hardlinks", _LINKS)
 def replay_hardlinks(spark: SparkSession, d: str) -> DataFrame:
-    """Chains of links have no plain SQL; tests compare with a sequential model."""
     return _replay(spark, d, links=True)
 
 
@@ -682,3 +706,76 @@ def documents_candidate_verdicts(spark: SparkSession, d: str) -> DataFrame:
     """Candidates in the real texts, whose assignments have a space before the quote."""
     rows = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.col("text").alias("content"), F.lit("").alias("key"))
     return det.entropy_candidates(rows).select("doc_id", F.col("value").cast("string").alias("value"), "verdict")
+
+
+# --- runs and saved state, through the functions that scans use ------------------------------------------------------------------
+
+
+def _target_rows(d) -> str:
+    """Root documents times their manifests; some roots have none, some manifests failed."""
+    return "select 'r' || (l_orderkey % 400) as root_digest, case when l_orderkey % 40 = 7 then '' else 'm' || (l_partkey % 300) end as digest, case when l_orderkey % 40 = 7 or l_orderkey % 40 = 9 or l_partkey % 11 = 0 then 'failed' else 'scanned' end as status from lineitem"
+
+
+@query("target_counters", f"""
+with t as ({_target_rows(DUCK)}), p as (select root_digest, count(*) filter (digest <> '') as n, count(*) filter (status = 'scanned') as ok, count(*) filter (digest <> '' and status <> 'scanned') as bad from t group by 1)
+select count(*) as target_count, count(*) filter (ok > 0) as completed_target_count, count(*) filter (ok = 0) as failed_target_count, sum(n)::bigint as manifest_count, sum(ok)::bigint as completed_manifest_count, sum(bad)::bigint as failed_manifest_count from p""")
+def target_counters(spark: SparkSession, d: str) -> DataFrame:
+    return scan.target_counts(i.rows(spark, d, _target_rows))
+
+
+def _resolved_rows(d) -> str:
+    return "select case when o_orderkey % 50 = 0 then '' else 't' || o_orderkey end as tag, case when o_orderkey % 7 = 0 then 'status 404' else '' end as error from orders"
+
+
+@query("tag_counters", f"with t as ({_resolved_rows(DUCK)}) select count(*) filter (tag <> '') as tags_enumerated, count(*) filter (tag <> '' and error = '') as tags_resolved, count(*) filter (tag <> '' and error <> '') as tags_failed from t")
+def tag_counters(spark: SparkSession, d: str) -> DataFrame:
+    return jobs.tag_counts(i.rows(spark, d, _resolved_rows))
+
+
+def _platform_rows(d) -> str:
+    part = lambda name, n: f"case cast(c_custkey % {n} as int) when 0 then '' when 1 then ' ' when 2 then null else '{name}' || (c_custkey % 3) end"
+    return f"select c_custkey as id, {part('os', 4)} as os, {part('arch', 5)} as architecture, {part('v', 6)} as variant, 'linux' as cos, case when c_custkey % 2 = 0 then 'amd64' else '' end as carch, cast(null as varchar(9)) as cvar from customer"
+
+
+@query("fill_platform", f"""
+with c as ({_platform_rows(DUCK)})
+select id, case when trim(coalesce(os, '')) <> '' then os else coalesce(cos, '') end as os, case when trim(coalesce(architecture, '')) <> '' then architecture else coalesce(carch, '') end as architecture, case when trim(coalesce(variant, '')) <> '' then variant else coalesce(cvar, '') end as variant from c""")
+def fill_platform(spark: SparkSession, d: str) -> DataFrame:
+    c = i.rows(spark, d, _platform_rows).select("id", F.struct("os", "architecture", "variant").alias("d"), F.struct(F.col("cos").alias("os"), F.col("carch").alias("architecture"), F.col("cvar").alias("variant")).alias("g"))
+    filled = meta.filled_platform(F.col("d"), F.col("g"))
+    return c.select("id", *[F.coalesce(v, F.lit("")).alias(k) for k, v in filled.items()])
+
+
+def _repeated_rows(d) -> str:
+    url = f"'https://u' || c_custkey || ':' || {i.HEX(d, 'rep', 1, 10)} || '@h.io'"
+    return f"select c_custkey as content_id, 'one ' || {url} || ' two ' || {url} || ' end' as content, '' as file_path, '' as key from customer"
+
+
+@query("match_locations", f"""
+with c as ({_repeated_rows(DUCK)}), v as (select *, regexp_extract(content, 'https://[^ ]+', 0) as v from c)
+select content_id, 'uri' as detector_name, v as value, x.a::bigint as match_start, (x.a + strlen(v))::bigint as match_end, 'medium' as confidence, 2::int as priority from (select *, unnest([4, 4 + strlen(v) + 5]) as a from v) x""")
+def match_locations(spark: SparkSession, d: str) -> DataFrame:
+    """A value that occurs twice is found at both places."""
+    return _matches(det.detect(i.rows(spark, d, _repeated_rows), {"keyword_library"}))
+
+
+def _saved_rows(d) -> str:
+    return "select 'sha256:' || c_custkey as digest, 'sha256:root' || (c_custkey % 9) as root_digest, 'linux' as platform_os, case when c_custkey % 2 = 0 then 'amd64' else 'arm64' end as platform_architecture, '' as platform_variant, case when c_custkey % 5 = 0 then 'failed' else 'scanned' end as status, case when c_custkey % 5 = 0 then 'e' || c_custkey else '' end as error from customer"
+
+
+@query("store_roundtrip", f"""
+with m as ({_saved_rows(DUCK)})
+select digest, platform_architecture, status as last_scan_status, error as last_scan_error, 1::bigint as day_first, case when substr(digest, 8)::bigint % 3 = 0 then 2 else 1 end::bigint as day_last, 't' || (substr(digest, 8)::bigint % 20) as tag from m""")
+def store_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """Manifests and tags saved on two days, a third of them again on the second, read back from the store's current version."""
+    st = store.Store(spark, f"{scratch(spark)}/store-{uuid.uuid4().hex}")
+    m = i.rows(spark, d, _saved_rows)
+    none = scan.detect_findings(spark.createDataFrame([], "source_type string, manifest_digest string, platform string, file_path string, layer_digest string, key string, present_in_final_image boolean, content binary"))
+    number = F.substring("digest", 8, 20).cast("long")
+    tags = m.select(F.concat(F.lit("t"), number % 20).alias("tag"), F.col("digest").alias("manifest_digest"), "root_digest", "platform_os", "platform_architecture", "platform_variant", "status", "error")
+    st.save("docker.io", "library/img", m, tags, none, None, F.lit("2024-01-01").cast("timestamp"))
+    st.save("docker.io", "library/img", m.where(number % 3 == 0), tags.limit(0), none, None, F.lit("2024-01-02").cast("timestamp"))
+    t = st.tables()
+    day = lambda c: F.dayofmonth(c).cast("long")
+    got = t["manifests"].select("digest", "platform_architecture", "last_scan_status", "last_scan_error", day("first_seen_at").alias("day_first"), day("last_seen_at").alias("day_last"))
+    return got.join(t["tags"].select(F.col("manifest_digest").alias("digest"), "tag"), "digest")

@@ -11,6 +11,7 @@ import io
 import posixpath
 import tarfile
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -80,24 +81,24 @@ def text_class(text: Column) -> Column:
     return F.when(n == 0, "text").when(text.startswith("\x7fELF"), "binary_shared_object").when(F.instr(text, "\x00") > 0, "binary_nul").when(good < PRINTABLE * n, "binary_low_printable").otherwise("text")
 
 
-def _plain(kind: str, data: bytes):
+def _plain(kind: str, source: BinaryIO):
     if kind == "gzip":
-        return gzip.GzipFile(fileobj=io.BytesIO(data))
+        return gzip.GzipFile(fileobj=source)
     if kind == "zstd":
         import zstandard
 
-        return zstandard.ZstdDecompressor().stream_reader(io.BytesIO(data), read_across_frames=True)
+        return zstandard.ZstdDecompressor().stream_reader(source, read_across_frames=True)
     if kind == "none":
-        return io.BytesIO(data)
+        return source
     raise ValueError(f"{kind} layer")
 
 
-def entries(data: bytes, compression: str, limits: Settings = Settings()) -> Iterator[dict]:
-    """The entries of one archive in order; the last is of kind error if it could not be read to its end."""
+def entries(data: bytes | BinaryIO, compression: str, limits: Settings = Settings()) -> Iterator[dict]:
+    """The entries of one archive, bytes or a stream, in order; the last is of kind error if it could not be read to its end."""
     n = 0
     row = lambda **x: {"entry_idx": n, "path": "", "kind": "", "linkname": "", "size": 0, "content_class": "", "scannable": False, "content": None} | x
     try:
-        with tarfile.open(fileobj=_Counted(_plain(compression, data), limits.max_layer_bytes), mode="r|", bufsize=65536) as tar:
+        with tarfile.open(fileobj=_Counted(_plain(compression, io.BytesIO(data) if isinstance(data, bytes) else data), limits.max_layer_bytes), mode="r|", bufsize=65536) as tar:
             for m in tar:
                 if limits.max_layer_entries and n >= limits.max_layer_entries:
                     raise Limit("layer entries")
@@ -120,23 +121,34 @@ def entries(data: bytes, compression: str, limits: Settings = Settings()) -> Ite
         yield row(kind="error", path=f"unreadable: {e}"[:300])
 
 
+def failure(why: str) -> dict:
+    """The row of a layer that could not be opened."""
+    return {"entry_idx": 0, "path": f"unreadable: {why}"[:300], "kind": "error", "linkname": "", "size": 0, "content_class": "", "scannable": False, "content": None}
+
+
+_ENTRIES = pa.schema([("layer_digest", pa.string()), ("entry_idx", pa.int32()), ("path", pa.string()), ("kind", pa.string()), ("linkname", pa.string()), ("size", pa.int64()), ("content_class", pa.string()), ("scannable", pa.bool_()), ("content", pa.binary())])
+
+
+def batches_of(digest: str, found: Iterator[dict]) -> Iterator[pa.RecordBatch]:
+    """Entries of one layer in batches of some megabytes."""
+    part, size = [], 0
+    for e in found:
+        part.append(e | {"layer_digest": digest})
+        size += len(e["content"] or b"") + 100
+        if size > 4 << 20:
+            yield pa.RecordBatch.from_pylist(part, schema=_ENTRIES)
+            part, size = [], 0
+    if part:
+        yield pa.RecordBatch.from_pylist(part, schema=_ENTRIES)
+
+
 def decode(layers: DataFrame, limits: Settings = Settings()) -> DataFrame:
     """layer_digest, media_type and blob (binary), a row per distinct layer, to schema.LAYER_ENTRIES. Blobs are not shuffled here."""
     one = layers.select("layer_digest", metadata.compression(metadata.media_type(F.col("media_type"))).alias("c"), "blob")
-    names = [f.name for f in schema.LAYER_ENTRIES]
-    kinds = pa.schema([("layer_digest", pa.string()), ("entry_idx", pa.int32()), ("path", pa.string()), ("kind", pa.string()), ("linkname", pa.string()), ("size", pa.int64()), ("content_class", pa.string()), ("scannable", pa.bool_()), ("content", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
-                part, size = [], 0
-                for e in entries(b["blob"][i].as_py() or b"", b["c"][i].as_py(), limits):
-                    part.append(e | {"layer_digest": b["layer_digest"][i].as_py()})
-                    size += len(e["content"] or b"") + 100
-                    if size > 4 << 20:
-                        yield pa.RecordBatch.from_pylist(part, schema=kinds)
-                        part, size = [], 0
-                if part:
-                    yield pa.RecordBatch.from_pylist(part, schema=kinds)
-
-    return one.mapInArrow(run, schema.LAYER_ENTRIES).select(*names)
+                yield from batches_of(b["layer_digest"][i].as_py(), entries(b["blob"][i].as_py() or b"", b["c"][i].as_py(), limits))
+
+    return one.mapInArrow(run, schema.LAYER_ENTRIES)

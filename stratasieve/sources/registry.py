@@ -5,19 +5,27 @@ One client per task; requests are idempotent, so a task may run again. Nothing i
 
 from __future__ import annotations
 
+import hashlib
+import io
 import json
 import re
 import urllib.error
 import urllib.parse
 import urllib.request
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
+from typing import BinaryIO
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from .. import schema
 from ..functions.references import HUB
+from ..operators import metadata
 from ..operators.metadata import ACCEPTED
+from . import layers as lay
 from .config import Settings
 
 
@@ -34,12 +42,20 @@ class Response:
     status: int
     headers: dict[str, str]
     body: bytes
+    stream: BinaryIO | None = None
+
+
+#: asks for a response that is read as a stream
+STREAM = -1
 
 
 def http(method: str, url: str, headers: dict[str, str], timeout: float, most: int = 0) -> Response:
     """One request. An HTTP error is a response, not an exception. Reads at most `most` + 1 bytes (0: all)."""
     request = urllib.request.Request(url, method=method, headers=headers)
     try:
+        if most == STREAM:
+            r = urllib.request.urlopen(request, timeout=timeout)
+            return Response(r.status, {k.lower(): v for k, v in r.headers.items()}, b"", r)
         with urllib.request.urlopen(request, timeout=timeout) as r:
             return Response(r.status, {k.lower(): v for k, v in r.headers.items()}, r.read(most + 1) if most else r.read())
     except urllib.error.HTTPError as e:
@@ -115,7 +131,7 @@ class Client:
         r = self.ask(method, url, accept, most)
         if r.status != 200:
             raise OSError(f"{what}: status {r.status}")
-        if most and len(r.body) > most:
+        if most > 0 and len(r.body) > most:
             raise LimitError(what)
         return r
 
@@ -148,6 +164,11 @@ class Client:
             pass
         return self.manifest(repository, identifier)[:2]
 
+    def open_blob(self, repository: str, digest: str) -> BinaryIO:
+        """A blob as a stream."""
+        r = self._get("GET", f"{self.base}/v2/{repository}/blobs/{digest}", "blob", most=STREAM)
+        return r.stream if r.stream is not None else io.BytesIO(r.body)
+
     def blob(self, repository: str, digest: str, most: int = 0) -> bytes:
         return self._get("GET", f"{self.base}/v2/{repository}/blobs/{digest}", "blob", most=most).body
 
@@ -157,7 +178,7 @@ class TagsReader(DataSourceReader):
 
     def __init__(self, options: dict) -> None:
         self.repositories = [x.strip() for x in options.get("repositories", "").split(",") if x.strip()]
-        self.settings = Settings(registry_base_url=options.get("base_url", ""), tag_page_size=int(options.get("page_size", 100)))
+        self.settings = Settings(**json.loads(options.get("settings", "{}")))
 
     def partitions(self) -> list[InputPartition]:
         return [InputPartition(r) for r in self.repositories]
@@ -194,19 +215,57 @@ class TagsSource(DataSource):
         return TagsReader(dict(self.options))
 
 
-def fetch_blobs(wanted: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """registry, repository, digest to blob and error: one request per row, on the executors."""
+def tags(spark: SparkSession, repositories: list[str], settings: Settings = Settings()) -> DataFrame:
+    """registry, repository, tag, digest, media_type and error of all tags of repositories (host/name)."""
+    spark.dataSource.register(TagsSource)
+    return spark.read.format(TagsSource.name()).option("repositories", ",".join(repositories)).option("settings", json.dumps(asdict(settings))).load()
+
+
+#: requests of one kind go to this many tasks at most
+REQUESTS = 64
+
+
+def fetch(wanted: DataFrame, registry: str, repository: str, settings: Settings = Settings()) -> DataFrame:
+    """digest and what (manifest or blob) of small documents to digest, media_type, body (string) and error: one request per row, on the executors. A manifest may be named by a tag; `digest` then is its own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        client = Client(registry, settings)
+        for b in batches:
+            rows = []
+            for asked, what in zip(b["digest"].to_pylist(), b["what"].to_pylist()):
+                digest, kind, body, error = asked, "", None, ""
+                try:
+                    if what == "manifest":
+                        named, kind, body = client.manifest(repository, asked)
+                        digest = asked if ":" in asked else named or "sha256:" + hashlib.sha256(body).hexdigest()
+                    else:
+                        body = client.blob(repository, asked, settings.max_config_bytes)
+                except LimitError as e:
+                    error = f"limit: {e}"
+                except (OSError, ValueError) as e:
+                    error = str(e) or type(e).__name__
+                rows.append({"asked": asked, "digest": digest, "media_type": kind, "body": None if body is None else body.decode("utf-8", "replace"), "error": error})
+            yield pa.RecordBatch.from_pylist(rows, schema=_FETCHED)
+
+    one = wanted.select("digest", "what").distinct().repartition(REQUESTS, "digest")
+    return one.mapInArrow(run, "asked string, digest string, media_type string, body string, error string")
+
+
+_FETCHED = pa.schema([(c, pa.string()) for c in ("asked", "digest", "media_type", "body", "error")])
+
 
-    def run(batches: Iterator) -> Iterator:
-        import pandas as pd
+def decode_layers(layers: DataFrame, registry: str, repository: str, settings: Settings = Settings()) -> DataFrame:
+    """layer_digest and media_type to schema.LAYER_ENTRIES: each blob is read as a stream where it is decoded, and never held whole."""
+    one = layers.select("layer_digest", metadata.compression(metadata.media_type(F.col("media_type"))).alias("c")).repartition(REQUESTS, "layer_digest")
 
-        clients: dict[str, Client] = {}
-        for pdf in batches:
-            for r in pdf.itertuples(index=False):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        client = Client(registry, settings)
+        for b in batches:
+            for digest, kind in zip(b["layer_digest"].to_pylist(), b["c"].to_pylist()):
                 try:
-                    body, error = clients.setdefault(r.registry, Client(r.registry, settings)).blob(r.repository, r.digest), ""
-                except (OSError, LimitError) as e:
-                    body, error = None, str(e)
-                yield pd.DataFrame({"registry": [r.registry], "repository": [r.repository], "digest": [r.digest], "blob": [body], "error": [error]})
+                    with client.open_blob(repository, digest) as stream:
+                        yield from lay.batches_of(digest, lay.entries(stream, kind, settings))
+                except OSError as e:
+                    yield from lay.batches_of(digest, iter([lay.failure(str(e))]))
 
-    return wanted.select("registry", "repository", "digest").distinct().mapInPandas(run, "registry string, repository string, digest string, blob binary, error string")
+    return one.mapInArrow(run, schema.LAYER_ENTRIES)

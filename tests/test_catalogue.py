@@ -10,7 +10,7 @@ from stratasieve.plans import catalogue, inputs
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
-SAMPLE = ["detect_env_tokens", "detect_github_token", "detect_jwt", "detect_entropy", "detect_aws_profiles", "detect_keyword_library", "match_precedence", "discard_placeholders", "classify_disposition", "redact_values", "snippets", "dedup_public", "dedup_detailed", "cap_low_confidence", "flatten_config", "select_descriptors", "parse_references", "replay_final", "replay_deleted", "upsert_manifests", "replace_tags", "tag_records", "manifest_merge", "list_repository_findings_all"]
+SAMPLE = ["detect_env_tokens", "detect_github_token", "detect_jwt", "detect_entropy", "detect_aws_profiles", "detect_keyword_library", "match_precedence", "discard_placeholders", "classify_disposition", "redact_values", "snippets", "dedup_public", "dedup_detailed", "cap_low_confidence", "flatten_config", "select_descriptors", "parse_references", "replay_final", "replay_deleted", "replay_hardlinks", "target_counters", "tag_counters", "fill_platform", "match_locations", "store_roundtrip", "error_summaries", "upsert_manifests", "replace_tags", "tag_records", "manifest_merge", "list_repository_findings_all"]
 
 
 @pytest.fixture(scope="module")

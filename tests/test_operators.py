@@ -4,6 +4,7 @@ import gzip
 import hashlib
 import io
 import json
+import os
 import random
 import tarfile
 
@@ -73,7 +74,7 @@ def model(events):
         else:
             src = (layer, entry)
             if kind == "hardlink":
-                if link not in live or live[link][0] == "symlink":
+                if link not in live:
                     continue
                 src = live[link][2]
             if path in live:
@@ -108,6 +109,13 @@ def test_replay_against_a_fold(spark, links):
         assert sorted(have.get(m, []), key=key) == sorted(want, key=key)
 
 
+def test_a_long_chain_of_hardlinks(spark):
+    """Each entry links to the one before; the last dead target is no event."""
+    entries = [("L", 0, "f0", "regular", "", 0, "text", True, b"x")] + [("L", k, f"f{k}", "hardlink", f"f{k - 1}", 0, "text", True, b"") for k in range(1, 300)] + [("L", 300, "f0", "hardlink", "nowhere", 0, "text", True, b"")]
+    got = rep.replay(spark.createDataFrame([("m", 0, "L", "")], schema.MANIFEST_LAYERS), spark.createDataFrame(entries, schema.LAYER_ENTRIES)).collect()
+    assert len(got) == 300 and {(x["src_layer"], x["src_entry"], x["state"]) for x in got} == {("L", 0, "final")}
+
+
 def tar(files):
     out = io.BytesIO()
     with tarfile.open(fileobj=out, mode="w") as t:
@@ -204,7 +212,7 @@ def test_scan_a_layout(spark, tmp_path):
     assert got == {("env", "linux/amd64", "actionable", ""), ("env", "linux/arm64", "actionable", ""), ("file_deleted_layer", "linux/amd64", "actionable", "app/.env"), ("file_final", "linux/arm64", "actionable", "app/.env"), ("file_final", "linux/amd64", "example", "app/tests/x"), ("file_final", "linux/arm64", "example", "app/tests/x")}
     c = s.counts()
     # one secret in an environment and in a deleted file: one fingerprint, several findings
-    assert c["manifest_count"] == 2 and c["failed_manifest_count"] == 1 and s.status(c) == "partial" and s.exit_code() == 2
+    assert c["manifest_count"] == 2 and c["failed_manifest_count"] == 1 and c["target_count"] == c["completed_target_count"] == 1 and s.status(c) == "partial" and s.exit_code() == 2
     assert s.findings.where("detector_name = 'github_token'").select("fingerprint").distinct().count() == 1
     assert {x["tag"] for x in s.tags.collect()} == {"latest"} and s.tags.count() == 2
     only = scan.scan_layout(spark, root, "linux/amd64").saved(str(tmp_path / "one"))
@@ -226,8 +234,10 @@ def test_scan_a_layout(spark, tmp_path):
     assert summary.count() == 1 and occ.count() == listed[0]["occurrence_count"]
     assert read_api.list_scans(t, "docker.io", "library/img").count() == 2 and read_api.get_scan(t, 1).count() == 0
     assert state.delete_cascade(t, t["repositories"])["tags"].count() == 0
-    store.write_findings_file(only.findings, str(tmp_path / "out"))
-    assert "value" not in spark.read.json(str(tmp_path / "out")).columns
+    path = store.write_findings_file(only.findings, str(tmp_path / "out"), "f.json")
+    listed = json.loads(open(path).read())
+    assert len(listed) == only.findings.count() and "value" not in listed[0] and oct(os.stat(path).st_mode)[-3:] == "600" and oct(os.stat(tmp_path / "out").st_mode)[-3:] == "700"
+    assert [x["disposition"] for x in listed] == sorted((x["disposition"] for x in listed), key=lambda x: x != "actionable")
     assert store.NoStore().save() is None and store.result_json(only.findings).count() == only.findings.count()
 
 
@@ -282,7 +292,12 @@ def test_stream(spark, tmp_path):
     rows.write.parquet(folder)
     st = store.Store(spark, str(tmp_path / "state"))
     for _ in range(2):
-        q = incremental.keep_up(spark, folder, st, str(tmp_path / "ck"))
+        q = incremental.keep_up(spark, folder, st, str(tmp_path / "ck"), "docker.io", "library/img")
         q.awaitTermination(120)
         assert q.exception() is None
     assert st.table("findings").count() == 1 and st.table("finding_occurrences").count() >= 1
+    assert read_api.list_findings(st.tables(), "", "library/img", "all").count() == 1
+    first = st.table("findings").select("first_seen_at").first()[0]
+    assert first.year >= 2024
+    again = spark.range(1).select(st.batch_time("content-0").alias("t")).first()["t"]
+    assert again == first
