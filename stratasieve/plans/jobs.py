@@ -113,7 +113,7 @@ def run_scan(spark: SparkSession, reference: str, folder: str, settings: Setting
         one = with_body.select("digest", "error").first()
         digest, resolved = (one["digest"], r.with_digest(one["digest"]).canonical) if one["error"] == "" else ("", r.canonical)
     layers = lambda kinds: _written(reg.decode_layers(kinds, r.registry, r.repository, settings), f"{folder}/layers")
-    found = plan.scan_images(with_body, fetch, layers, selector, settings, failed, more, library).saved(f"{folder}/scan")
+    found = plan.scan_images(with_body, fetch, layers, selector, settings, failed, more, library, lambda df, name: _written(df, f"{folder}/{name}")).saved(f"{folder}/scan")
     counts = found.counts() | ({"target_count": n} if limit else {})
     counts |= tag_counts(tags).first().asDict() if mode == "repository" else {"tags_enumerated": int(not r.digest), "tags_resolved": int(not r.digest and digest != ""), "tags_failed": int(not r.digest and digest == "")}
     if not error:

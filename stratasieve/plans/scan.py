@@ -79,22 +79,23 @@ def detect_findings(content_rows: DataFrame, more: tuple = (), library: tuple =
 Fetch = Callable[[DataFrame], DataFrame]
 
 
-def scan_images(roots: DataFrame, fetch: Fetch, layers: Fetch, selector: tuple[str, str, str] | None = None, settings: Settings = Settings(), failed: DataFrame | None = None, more: tuple = (), library: tuple = ()) -> Scan:
+def scan_images(roots: DataFrame, fetch: Fetch, layers: Fetch, selector: tuple[str, str, str] | None = None, settings: Settings = Settings(), failed: DataFrame | None = None, more: tuple = (), library: tuple = (), written: Callable[[DataFrame, str], DataFrame] = lambda df, name: df) -> Scan:
     """roots: tag, digest, body, header_type and error of root documents (a null body: not read). fetch: digest and what (manifest or blob) to digest, body and error. layers: layer_digest and media_type to schema.LAYER_ENTRIES. failed: tag and error of tags without a root.
 
     A digest is scanned once, however many tags name it; a layer is decoded once, however many manifests share it. A limit ends the scan: targets are in the order of
-    their first tag, and of those behind the first that met a limit nothing is kept; nor of its manifests behind that one.
+    their first tag, and of those behind the first that met a limit nothing is kept; nor of its manifests behind that one. written: writes a table under a name and reads it
+    back, for what is used several times (as it is: each use computes it again).
     """
     spark = roots.sparkSession
     one = roots.groupBy("digest").agg(F.first("body", True).alias("body"), F.first("header_type", True).alias("header_type"), F.max("error").alias("root_error"), F.coalesce(F.min(F.when(F.col("tag") != "", F.col("tag"))), F.lit("")).alias("first_tag"))
-    docs = meta.parse_documents(one).withColumnRenamed("digest", "root_digest")
+    docs = written(meta.parse_documents(one).withColumnRenamed("digest", "root_digest"), "roots")
     below = meta.select_descriptors(docs, selector).select("root_digest", F.col("position"), F.col("d.digest").alias("digest"), F.col("d.platform").alias("p"))
     got = fetch(below.select("digest", F.lit("manifest").alias("what")).distinct()).select("digest", "body", F.col("error").alias("fetch_error"))
     found = below.join(got, "digest", "left").withColumn("header_type", F.lit(""))
     no_platform = F.lit(None).cast("struct<os:string,architecture:string,variant:string>")
     direct = docs.where("kind = 'manifest'").select("root_digest", F.lit(0).alias("position"), F.col("root_digest").alias("digest"), no_platform.alias("p"), "body", F.lit("").alias("fetch_error"), "header_type")
     mans = found.select("root_digest", "position", "digest", "p", "body", "fetch_error", "header_type").unionByName(direct)
-    mans = meta.parse_documents(mans.dropDuplicates(["root_digest", "digest"])).withColumn("config_digest", F.col("doc.config.digest"))
+    mans = written(meta.parse_documents(mans.dropDuplicates(["root_digest", "digest"])).withColumn("config_digest", F.col("doc.config.digest")), "manifest-documents")
     per = mans.withColumn("by", F.struct("root_digest", "position")).groupBy("digest").agg(*[F.min_by(c, "by").alias(c) for c in ("root_digest", "p", "body", "fetch_error", "kind", "doc", "config_digest")])
     wanted = per.where("config_digest <> ''").select(F.col("config_digest").alias("digest"), F.lit("blob").alias("what")).distinct()
     cfg = fetch(wanted).select(F.col("digest").alias("config_digest"), F.col("body").alias("cfg_body"), F.octet_length(F.col("body")).alias("cfg_size"), F.col("error").alias("cfg_error"))
@@ -103,7 +104,7 @@ def scan_images(roots: DataFrame, fetch: Fetch, layers: Fetch, selector: tuple[s
     per = per.withColumn("too_big", F.coalesce(too_big, F.lit(False)))
     per = per.withColumn("cfg", F.when(~F.col("too_big"), F.from_json("cfg_body", meta.schema.CONFIG)))
     per = per.withColumn("f", F.struct(*[c.alias(k) for k, c in meta.filled_platform(F.col("p"), F.col("cfg")).items()]))
-    per = per.withColumn("platform", scalar.platform_name(F.col("f.os"), F.col("f.architecture"), F.col("f.variant")))
+    per = written(per.withColumn("platform", scalar.platform_name(F.col("f.os"), F.col("f.architecture"), F.col("f.variant"))), "manifests-and-configurations")
     ml = per.where("kind = 'manifest'").select(F.col("digest").alias("manifest_digest"), F.posexplode("doc.layers").alias("layer_idx", "l")).select("manifest_digest", "layer_idx", F.col("l.digest").alias("layer_digest"), F.col("l.mediaType").alias("media_type"))
     decoded = layers(ml.groupBy("layer_digest").agg(F.max("media_type").alias("media_type")))
     broken = decoded.where("kind = 'error'").select("layer_digest", "path").join(ml, "layer_digest").groupBy("manifest_digest").agg(F.min_by("path", "layer_idx").alias("layer_error"), F.min("layer_idx").alias("bad_layer"))
@@ -114,7 +115,7 @@ def scan_images(roots: DataFrame, fetch: Fetch, layers: Fetch, selector: tuple[s
     about = meta.flatten(per.where("cfg is not null").select(F.col("digest").alias("manifest_digest"), "platform", "cfg")).withColumns({"file_path": F.lit(""), "layer_digest": F.lit(""), "present_in_final_image": F.lit(False), "content": F.col("content").cast("binary")})
     lost = F.when(~scalar.blank(F.col("fetch_error")), F.col("fetch_error")).when(F.col("body").isNull(), "manifest is missing").when(F.col("kind").isNull(), "document is neither index nor manifest").when(F.col("too_big"), "limit: config bytes").when(~scalar.blank(F.col("cfg_error")), F.col("cfg_error")).when(F.col("cfg").isNull(), "config is missing").otherwise(F.col("layer_error"))
     state_of = per.join(broken.withColumnRenamed("manifest_digest", "digest"), "digest", "left").withColumn("error", F.coalesce(lost, F.lit("")))
-    manifests = state_of.select("digest", "root_digest", F.col("f.os").alias("platform_os"), F.col("f.architecture").alias("platform_architecture"), F.col("f.variant").alias("platform_variant"), F.when(F.col("error") == "", "scanned").otherwise("failed").alias("status"), "error")
+    manifests = written(state_of.select("digest", "root_digest", F.col("f.os").alias("platform_os"), F.col("f.architecture").alias("platform_architecture"), F.col("f.variant").alias("platform_variant"), F.when(F.col("error") == "", "scanned").otherwise("failed").alias("status"), "error"), "manifest-states")
 
     # targets: roots in the order of their first tag, times their manifests; a root without any has one row with its error
     pairs = mans.select("root_digest", "position", "digest").join(manifests.select("digest", "status", "error"), "digest")
@@ -123,7 +124,7 @@ def scan_images(roots: DataFrame, fetch: Fetch, layers: Fetch, selector: tuple[s
     targets = targets.select("first_tag", "root_digest", F.coalesce("position", F.lit(-1)).alias("position"), F.coalesce("digest", F.lit("")).alias("digest"), F.coalesce("status", F.lit("failed")).alias("status"), F.when(F.col("digest").isNull(), F.col("why")).otherwise(F.col("error")).alias("error"))
     place = F.struct("first_tag", "root_digest", "position")
     stop = targets.where(F.col("error").startswith("limit")).agg(F.min(place)).scalar()
-    targets = targets.where(stop.isNull() | (place <= stop))
+    targets = written(targets.where(stop.isNull() | (place <= stop)), "target-states")
     kept = targets.where("digest <> ''").select("digest").distinct()
     manifests = manifests.join(kept, "digest", "left_semi")
     rows = files.select(*cols).unionByName(about.select(*cols)).join(kept.withColumnRenamed("digest", "manifest_digest"), "manifest_digest", "left_semi").select(*cols)

@@ -222,7 +222,7 @@ def tags(spark: SparkSession, repositories: list[str], settings: Settings = Sett
 
 
 #: requests of one kind go to this many tasks at most
-REQUESTS = 64
+REQUESTS = 16
 
 
 def fetch(wanted: DataFrame, registry: str, repository: str, settings: Settings = Settings()) -> DataFrame:

@@ -14,6 +14,7 @@ from stratasieve.operators import detect as det
 from stratasieve.operators import metadata as meta
 from stratasieve.operators import rules, state
 from stratasieve.plans import jobs, read_api
+from stratasieve.sources import registry as reg
 from stratasieve.sources import store
 from stratasieve.sources.config import Settings
 from test_operators import GH, tar
@@ -62,6 +63,11 @@ class Registry:
         return 404, {}, b"{}"
 
 
+@pytest.fixture(autouse=True)
+def few_tasks(monkeypatch):
+    monkeypatch.setattr(reg, "REQUESTS", 2)
+
+
 @pytest.fixture(scope="module")
 def served():
     registry = Registry()
@@ -114,23 +120,15 @@ def test_limits_end_a_run_and_keep_what_came_before(spark, served, tmp_path):
     _, url = served
     run = jobs.run_scan(spark, "ghcr.io/org/img", str(tmp_path / "a"), Settings(registry_base_url=url, max_repository_targets=2))
     assert run.limit and run.status == "partial" and run.counts["target_count"] == 3 and run.counts["manifest_count"] == 0 and run.exit_code() == 1
-    run = jobs.run_scan(spark, "ghcr.io/org/img", str(tmp_path / "b"), Settings(registry_base_url=url, max_layer_entries=5))
-    assert run.limit and run.status == "partial" and run.counts["total_findings"] > 0 and run.counts["failed_manifest_count"] == 2
     run = jobs.run_scan(spark, "ghcr.io/org/img", str(tmp_path / "c"), Settings(registry_base_url=url, max_layer_entries=1))
     # the first target meets the limit: of the others nothing is kept
     assert run.limit and {x["first_tag"] for x in run.scan.targets.collect()} == {"a"} and run.counts["manifest_count"] == 1
 
 
-def test_single_references(spark, served, tmp_path):
-    registry, url = served
-    run = jobs.run_scan(spark, "ghcr.io/org/img:a", str(tmp_path / "a"), Settings(registry_base_url=url))
-    assert run.mode == "reference" and run.status == "completed" and run.resolved_reference.endswith(registry.tags["a"]) and run.counts["tags_resolved"] == 1 and github(run) == 2
-    run = jobs.run_scan(spark, f"ghcr.io/org/img@{registry.tags['z']}", str(tmp_path / "b"), Settings(registry_base_url=url))
-    assert run.exit_code() == 0 and run.counts["tags_enumerated"] == 0 and run.counts["manifest_count"] == 1
+def test_a_reference_without_an_answer(spark, served, tmp_path):
+    _, url = served
     run = jobs.run_scan(spark, "ghcr.io/org/img:nowhere", str(tmp_path / "c"), Settings(registry_base_url=url))
     assert run.status == "failed" and "404" in run.error and run.exit_code() == 1
-    run = jobs.run_scan(spark, "ghcr.io/org/img:a", str(tmp_path / "d"), Settings(registry_base_url=url), platform="linux/arm64")
-    assert run.counts["manifest_count"] == 1  # a single manifest is no index to select from
 
 
 def test_command_line(spark, served, tmp_path, capsys):
@@ -138,10 +136,10 @@ def test_command_line(spark, served, tmp_path, capsys):
     env = {"STRATASIEVE_REGISTRY_BASE_URL": url, "STRATASIEVE_FINDINGS_DIR": str(tmp_path / "out"), "STRATASIEVE_STATE_DIR": str(tmp_path / "state")}
     assert cli.main(["scan", "ghcr.io/org/img:a", "--format", "json"], spark, env) == 2
     got = json.loads(capsys.readouterr().out)
+    assert got["mode"] == "reference" and got["status"] == "completed" and got["tags_resolved"] == 1 and got["resolved_reference"].startswith("ghcr.io/org/img@sha256:")
     assert got["total_findings"] == len(got["findings"]) >= 2 and "value" not in got["findings"][0]
     (path,) = (tmp_path / "out").iterdir()
     assert len(json.loads(path.read_text())) >= 2
-    assert cli.main(["scan", "ghcr.io/org/img:z"], spark, env) == 0 and "status: completed" in capsys.readouterr().out
     assert cli.main(["scan", "http://x"], spark, env) == 1
 
 
