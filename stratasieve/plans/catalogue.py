@@ -576,14 +576,14 @@ def group_tags_by_digest(spark: SparkSession, d: str) -> DataFrame:
     return state.group_tags(o).withColumn("tags", F.array_join("tags", ","))
 
 
-def _target_rows(d) -> str:
+def _scanned_rows(d) -> str:
     m = lambda n: f"{{'digest': 'sha256:' || o_custkey || '-{n}', 'os': 'linux', 'architecture': 'a{n}', 'variant': '', 'status': 'scanned', 'error': ''}}" if d is DUCK else f"named_struct('digest', 'sha256:' || o_custkey || '-{n}', 'os', 'linux', 'architecture', 'a{n}', 'variant', '', 'status', 'scanned', 'error', '')"
     return f"select {d.list("'t' || o_orderkey", "'u' || (o_orderkey % 7)")} as tags, 'sha256:' || o_custkey as root_digest, {d.list(m(1), m(2))} as manifests, o_orderkey % 5 = 0 as bad, o_orderkey from orders"
 
 
-@query("tag_records", f"with t as ({_target_rows(DUCK)}), x as (select unnest(tags) as tag, root_digest, manifests from t where not bad), y as (select tag, root_digest, unnest(manifests) as m from x) select distinct tag, root_digest, m.digest as manifest_digest, m.os as platform_os, m.architecture as platform_architecture, m.variant as platform_variant, m.status as status, m.error as error from y union select 't' || o_orderkey, '', '', '', '', '', 'failed', 'gone' from t where bad")
+@query("tag_records", f"with t as ({_scanned_rows(DUCK)}), x as (select unnest(tags) as tag, root_digest, manifests from t where not bad), y as (select tag, root_digest, unnest(manifests) as m from x) select distinct tag, root_digest, m.digest as manifest_digest, m.os as platform_os, m.architecture as platform_architecture, m.variant as platform_variant, m.status as status, m.error as error from y union select 't' || o_orderkey, '', '', '', '', '', 'failed', 'gone' from t where bad")
 def tag_records(spark: SparkSession, d: str) -> DataFrame:
-    t = i.rows(spark, d, _target_rows)
+    t = i.rows(spark, d, _scanned_rows)
     return state.tag_records(t.where("not bad"), t.where("bad").select(F.concat(F.lit("t"), "o_orderkey").alias("tag"), F.lit("gone").alias("error")))
 
 
