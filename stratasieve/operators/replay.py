@@ -1,20 +1,20 @@
 """Layer replay: which entries of an image are final and which a later layer deleted.
 
 A path's live entry ends at the next event on the path (a put, or a whiteout of the path) or at the next opaque whiteout
-of a directory above it. Without hardlinks that is relational: `lead` over (manifest, path), and an equi-join of the
-ancestors of each put with one row per opaque directory, the sorted times at which it was swept. A hardlink copies what is live at its target at that
-moment, a symlink there as an empty file; without a live target it is no event. What a link needs, the events at targets of links, is folded in tar order, one manifest after the
-other: chains of any length take one pass. A manifest's entries are bounded by the limits on layers.
+of a directory above it. A hardlink copies what is live at its target at that moment, a symlink there as an empty file; without a live target it is no event.
+The events of a manifest are folded in tar order, one manifest after the other, so chains of links of any length take one pass and the events are computed once.
+An opaque whiteout touches no path: its time is added to its directory, and an entry that ends looks up the first such time after its own by bisection, so a
+manifest costs a sort and a few steps for each event and directory above it. A manifest's entries are bounded by the limits on layers; a task holds the live ones of one manifest.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 OPAQUE = ".wh..wh..opq"
 PREFIX = ".wh."
@@ -39,61 +39,94 @@ def events(manifest_layers: DataFrame, layer_entries: DataFrame) -> DataFrame:
     return x.withColumn("path", target)
 
 
-def lifetimes(ev: DataFrame) -> DataFrame:
-    """Every put with `until` (seq of the event that ends it, null if it stays) and deleted_by (that event's layer)."""
-    on_path = W.partitionBy("manifest_digest", "path").orderBy("seq")
-    puts = ev.where("op <> 'opaque'").withColumn("next", F.lead("seq").over(on_path)).where("op = 'put'")
-    above = F.expr("concat(array(''), transform(sequence(1, size(split(path, '/'))), n -> array_join(slice(split(path, '/'), 1, n - 1), '/')))")
-    opaque = ev.where("op = 'opaque'").groupBy(F.col("manifest_digest").alias("m"), F.col("path").alias("dir")).agg(F.array_sort(F.collect_set("seq")).alias("times"))
-    hit = puts.select("manifest_digest", "path", "seq", F.explode(F.array_distinct(above)).alias("dir_")).join(opaque, F.expr("manifest_digest = m and dir_ = dir"))
-    hit = hit.withColumn("at", F.expr("get(filter(times, x -> x > seq), 0)")).where("at is not null")
-    swept = hit.groupBy("manifest_digest", "path", "seq").agg(F.min("at").alias("swept"))
-    out = puts.join(swept, ["manifest_digest", "path", "seq"], "left").withColumn("until", F.least("next", "swept"))
-    layers = ev.select(F.col("manifest_digest").alias("m"), F.col("layer_idx").alias("li"), F.col("layer_digest").alias("deleted_by")).distinct()
-    return out.join(layers, F.expr("manifest_digest = m and until is not null and shiftright(until, 32) = li"), "left").drop("next", "swept", "m", "li")
+_FOLDED = ["manifest_digest", "seq", "path", "op", "kind", "linkname", "layer_digest", "entry_idx"]
+_REPLAYED = pa.schema([(c, pa.int32() if c in ("entry_idx", "src_entry") else pa.string()) for c in ("manifest_digest", "path", "kind", "layer_digest", "entry_idx", "src_layer", "src_entry", "state", "deleted_by")])
+#: rows of a batch that the fold gives on
+_ROWS = 1 << 16
+
+
+class _Image:
+    """The live entries of one manifest and the times at which its directories were swept."""
+
+    def __init__(self) -> None:
+        self.live: dict = {}  # path: seq, kind, layer, entry, layer and entry of the content
+        self.times: dict[str, list[int]] = {}
+        self.above: dict[str, tuple[list[int], ...]] = {}
+        self.layers: dict[int, str] = {}
+
+    def swept(self, path: str | None) -> tuple[list[int], ...]:
+        """The times of all directories above path; later ones are added to the same lists."""
+        if path is None:
+            return ()
+        where = path.rpartition("/")[0]
+        if where not in self.above:
+            names = {"", where, *(where[:k] for k, x in enumerate(where) if x == "/")}
+            self.above[where] = tuple(self.times.setdefault(x, []) for x in names)
+        return self.above[where]
+
+    def end(self, path: str | None, seq: int, before: int | None) -> int | None:
+        """When the entry put at seq ended: at the first sweep after it, at the latest at `before`."""
+        for t in self.swept(path):
+            if t and t[-1] > seq:
+                at = t[bisect_right(t, seq)]
+                before = at if before is None or at < before else before
+        return before
+
+
+def _values(a: pa.Array) -> list:
+    """to_pylist() by way of NumPy, which makes all strings at once."""
+    return a.to_pylist() if pa.types.is_integer(a.type) and a.null_count else a.to_numpy(zero_copy_only=False).tolist()
 
 
 def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links with a live target, from the events of whole manifests in order."""
-    now, live = None, {}
+    """Every regular file and live hardlink, from the events of whole manifests in order."""
+    now, image, out = object(), _Image(), []
+
+    def ended(m: str | None, path: str | None, x: tuple, before: int | None) -> None:
+        seq, kind, layer, entry, src, src_entry = x
+        if kind != "symlink":
+            at = image.end(path, seq, before)
+            out.append((m, path, kind, layer, entry, src, src_entry, "final", "") if at is None else (m, path, kind, layer, entry, src, src_entry, "deleted", image.layers[at >> 32] or ""))
+
+    def given(least: int) -> Iterator[pa.RecordBatch]:
+        while len(out) > least:
+            rows = out[-_ROWS:]
+            del out[-_ROWS:]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _REPLAYED.types)], schema=_REPLAYED)
+
     for b in batches:
-        got: list[tuple] = []
-        for m, seq, path, op, kind, link, layer, entry in zip(*(b[c].to_pylist() for c in ("manifest_digest", "seq", "path", "op", "kind", "linkname", "layer_digest", "entry_idx"))):
+        for m, seq, path, op, kind, link, layer, entry in zip(*(_values(b[c]) for c in _FOLDED)):
             if m != now:
-                now, live = m, {}
+                for p, x in image.live.items():
+                    ended(now, p, x, None)
+                now, image = m, _Image()
+                yield from given(_ROWS)
+            image.layers[seq >> 32] = layer
             if op == "opaque":
-                live = {p: x for p, x in live.items() if path and not p.startswith(path + "/")}
-            elif op == "whiteout":
-                live.pop(path, None)
-            elif kind != "hardlink":
-                live[path] = (layer, entry)
-            elif link in live:
-                live[path] = live[link]
-                got.append((m, seq, *live[path]))
-        cols = list(zip(*got)) or [()] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.string(), pa.int32()))], ["m", "s", "src_layer", "src_entry"])
-
-
-def resolve_hardlinks(ev: DataFrame) -> DataFrame:
-    """Events whose hardlinks carry src_layer and src_entry, the entry whose content they have; links without a live target are gone."""
-    link = F.col("op").eqNullSafe("put") & (F.col("kind") == "hardlink")
-    links = ev.where(link)
-    targets = links.select(F.col("manifest_digest").alias("m"), F.col("linkname").alias("p")).distinct()
-    with_links = targets.select("m").distinct()
-    at_targets = ev.where(~link & (F.col("op") != "opaque")).join(targets, F.expr("manifest_digest = m and path = p"), "left_semi")
-    sweeps = ev.where("op = 'opaque'").join(with_links, F.expr("manifest_digest = m"), "left_semi")
-    cols = ["manifest_digest", "seq", "path", "op", "kind", "linkname", "layer_digest", F.col("entry_idx").cast("int").alias("entry_idx")]
-    part = links.select(*cols).unionByName(at_targets.select(*cols)).unionByName(sweeps.select(*cols))
-    found = part.repartition("manifest_digest").sortWithinPartitions("manifest_digest", "seq").mapInArrow(_fold, "m string, s long, src_layer string, src_entry int")
-    plain = ev.where(~link).withColumns({"src_layer": F.col("layer_digest"), "src_entry": F.col("entry_idx")})
-    return plain.unionByName(links.join(found, F.expr("manifest_digest = m and seq = s")).drop("m", "s"))
+                image.times.setdefault(path, []).append(seq)
+                continue
+            src = layer, entry
+            if op == "put" and kind == "hardlink":
+                target = image.live.get(link)
+                if target is None or image.end(link, target[0], None) is not None:
+                    continue
+                src = target[4:]
+            old = image.live.pop(path, None)
+            if old is not None:
+                ended(m, path, old, seq)
+            if op == "put":
+                image.live[path] = (seq, kind, layer, entry, *src)
+        yield from given(_ROWS)
+    for p, x in image.live.items():
+        ended(now, p, x, None)
+    yield from given(0)
 
 
 def replay(manifest_layers: DataFrame, layer_entries: DataFrame) -> DataFrame:
     """manifest_digest, path, kind, layer_digest, entry_idx, src_layer, src_entry, state (final or deleted) and deleted_by of every file that an image has or had. Overwritten symlinks are dropped, others too."""
-    life = lifetimes(resolve_hardlinks(events(manifest_layers, layer_entries)))
-    state = F.when(F.col("until").isNull(), "final").otherwise("deleted")
-    return life.where("kind <> 'symlink'").select("manifest_digest", "path", "kind", "layer_digest", "entry_idx", "src_layer", "src_entry", state.alias("state"), F.coalesce("deleted_by", F.lit("")).alias("deleted_by"))
+    ev = events(manifest_layers, layer_entries).withColumns({"entry_idx": F.col("entry_idx").cast("int"), "seq": F.coalesce("seq", F.lit(-1))}).select(*_FOLDED)
+    types = ", ".join(f"{f.name} {'int' if f.type == pa.int32() else 'string'}" for f in _REPLAYED)
+    return ev.repartition("manifest_digest").sortWithinPartitions("manifest_digest", "seq").mapInArrow(_fold, types)
 
 
 def content_rows(replayed: DataFrame, layer_entries: DataFrame, platforms: DataFrame | None = None) -> DataFrame:

@@ -458,11 +458,11 @@ def parse_references(spark: SparkSession, d: str) -> DataFrame:
 def _replay(spark: SparkSession, d: str, links: bool = False) -> DataFrame:
     r = i.rows(spark, d, i.replay_rows)
     name = F.when(F.col("op") == "opaque", rep.OPAQUE).when(F.col("op") == "whiteout", F.concat(F.lit(rep.PREFIX), "name")).otherwise(F.col("name"))
-    layer = F.concat(F.lit("l"), "img", F.lit("-"), "layer_idx")
+    layer = F.coalesce(F.concat(F.lit("l"), "img", F.lit("-"), "layer_idx"), F.lit(""))  # never null: else the join computes it once more to test that
     kind = F.when(F.lit(links) & (F.col("op") == "put") & (F.col("entry_idx") % 5 == 0), "hardlink").otherwise(F.col("kind"))
     e = r.select(layer.alias("layer_digest"), "entry_idx", F.concat("dir", F.lit("/"), name).alias("path"), kind.alias("kind"), F.lit("app/d1/f1").alias("linkname"))
-    ml = r.select("manifest_digest", "layer_idx", layer.alias("layer_digest")).distinct()
-    return rep.replay(ml, e)
+    ml = r.select("img", "layer_idx").distinct().select(F.concat(F.lit("m"), "img").alias("manifest_digest"), "layer_idx", layer.alias("layer_digest"))
+    return rep.replay(F.broadcast(ml), e)  # 200 images of 6 layers at every size
 
 
 _REPLAY = f"""
